@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparloom.llm import encode, packing, syntax
+from sparloom.llm import encode, packing, pii, syntax
 from sparloom.storage import staged, table
 
 
@@ -37,7 +37,20 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every e-mail address, phone and identity number, street address and name."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.extract(documents, *pii.learn(documents, staged))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.redact(documents, p9_found(spark, sf_dir))
+
+
 QUERIES = {
     "p5_found": p5_found, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p9_found": p9_found, "p9_redacted": p9_redacted,
 }
 ORACLE: dict[str, str] = {}
