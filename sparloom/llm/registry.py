@@ -4,10 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparloom.llm import encode, packing, pii, syntax
+from sparloom.llm import encode, langid, packing, pairs, pii, syntax, truncation
 from sparloom.storage import staged, table
 
 
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = [table(spark, sf_dir, name).select("task_id", "question") for name in ("testing_data", "probe_task")]
+    return asked[0].unionByName(asked[1])
+
+
+def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "code_record").select("record_id", "task_id", "raw_response", "code")
+    answers = records.select("record_id", F.coalesce("raw_response", "code").alias("answer"))
+    ends = truncation.fit(truncation.sample_texts(answers, "record_id", "answer"))
+    languages = langid.fit_from(table(spark, sf_dir, "documents"))
+    return pairs.defects(records, _questions(spark, sf_dir), ends, languages, staged)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with their defect."""
+    return _defects(spark, sf_dir)
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers by model and defect."""
+    models = table(spark, sf_dir, "code_record").select("record_id", "model")
+    return (
+        models.join(_defects(spark, sf_dir), "record_id", "left")
+        .groupBy("model", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.scored_tables({
+        name: table(spark, sf_dir, name).select("record_id", "model", "raw_response") for name in ("code_record", "contract_record")
+    })
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses that break off."""
+    return _truncated(spark, sf_dir).where("cut_").select("tab", F.col("key_").alias("record_id"))
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of responses that break off, by table and model."""
+    return truncation.rates(_truncated(spark, sf_dir))
+
+
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.check_files(table(spark, sf_dir, "code_file"), "file_id", "file_path", "code", "run_id")
 
@@ -50,6 +93,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_rates": p4_rates,
     "p5_found": p5_found, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_redacted": p9_redacted,
 }
