@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparloom.llm import encode, langid, packing, pairs, pii, syntax, truncation
+from sparloom.llm import cross_split, encode, langid, packing, pairs, pii, syntax, truncation
 from sparloom.storage import staged, table
 
 
@@ -65,6 +65,36 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.rates(_checked(spark, sf_dir))
 
 
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = table(spark, sf_dir, "training_data").select(
+        "item_no", F.lower(F.trim("split")).alias("split"), "source", cross_split.id_key(F.col("task_id")).alias("task_key"),
+        cross_split.hash_key(F.col("prompt_hash")).alias("hash_key"), F.col("original_prompt").alias("statement"),
+    ).where("split in ('train', 'val')")
+    held_out = [
+        table(spark, sf_dir, name).select(
+            "item_no", "split", "source", cross_split.id_key(F.col("task_id")).alias("task_key"),
+            F.lit(None).cast("string").alias("hash_key"), F.col("question").alias("statement"),
+        )
+        for name in ("testing_data", "probe_task")
+    ]
+    return (
+        train.withColumn("side", F.when(F.col("split") == "train", "train").otherwise("eval"))
+        .unionByName(held_out[0].unionByName(held_out[1]).withColumn("side", F.lit("eval")))
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training row and an evaluation row that are the same task."""
+    pairs_ = cross_split.overlaps(_tasks(spark, sf_dir), staged)
+    return pairs_.select(F.least("item_train", "item_eval").alias("item_a"), F.greatest("item_train", "item_eval").alias("item_b"))
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs for each evaluation split and source."""
+    records = _tasks(spark, sf_dir)
+    return cross_split.counts(cross_split.overlaps(records, staged), records)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode.encode_documents(table(spark, sf_dir, "documents"))
@@ -94,7 +124,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_rates": p4_rates,
-    "p5_found": p5_found, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_counts": p6_counts, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_redacted": p9_redacted,
 }
 ORACLE: dict[str, str] = {}
