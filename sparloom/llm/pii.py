@@ -42,7 +42,12 @@ BROADCAST_ROWS = 200_000
 _AT = r"(?:\s?[@＠]\s?|\s?[\[({<]\s?(?:at|arroba)\s?[\])}>]\s?|\s(?:at|AT|arroba)\s)"
 _DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|punkt|point|punto)\s?[\])}>]\s?|\s(?:dot|DOT|punkt|point|punto)\s)"
 _LOCAL = rf"[\w](?:[\w.+%-]*[\w])?(?:(?:\s?[\[({{<]\s?dot\s?[\])}}>]\s?|\sDOT\s)[\w+%-]+)*"
-EMAIL = re.compile(rf"(?<![\w.+-]){_LOCAL}(?:[@＠]|{_AT})[\w-]+(?:{_DOT}[\w-]+)+", re.I)
+#: An address is found at its at sign; its local part is read backwards from there.
+_AT_DOMAIN = re.compile(rf"(?:[@＠]|{_AT})[\w-]+(?:{_DOT}[\w-]+)+", re.I)
+_LOCAL_END = re.compile(rf"(?<![\w.+-]){_LOCAL}$", re.I)
+LOCAL_CHARS = 120
+#: One of these is in every text with an address.
+_AT_SIGNS = ("@", "＠", "at)", "at]", "at}", "at>", "at )", "at ]", "arroba", "dot", "punkt", "punto", " point ")
 _EXT = r"(?:[ ,]{1,2}(?:ext\.?|extension|x|App\.|Durchwahl|Dw\.|poste|int\.)\s?\d{1,6})?"
 NUMBER = re.compile(rf"(?<![\w@.#+/:-])(?:\(\+?|\+)?\d(?:[\d.\-/()]|[  ](?=[\d(]))*\d{_EXT}(?![\w@])(?!\.\d)", re.I)
 _LABELS = r"(?!(?:SSN|DNI|NIE|NIF|NIR|CNI|ID|IBAN|BSN|SVN|RUN)\b)"
@@ -55,12 +60,17 @@ _EN_TYPE = (
     r"(?:Street|St\.|Road|Rd\.|Lane|Ln\.|Avenue|Ave|Close|Court|Ct\.|Drive|Dr\.|Way|Place|Square|Terrace|Crescent|Boulevard|Blvd|Row|Gardens|Mews|Grove)"
 )
 _UNIT = r"(?:,? (?:Flat|Apt\.?|Apartment|Unit|Suite) \w{1,4}\b|,? ?#\s?\d{1,5}\b)?"
-ADDRESS = re.compile(
-    rf"(?<![\w-])\d{{1,4}}[A-Za-z]? (?:{_CAP} ){{1,3}}{_EN_TYPE}(?!\w){_UNIT}"
-    rf"|(?<![\w-])(?:[A-ZÄÖÜ][\w-]*(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig)|{_CAP} (?:Straße|Weg|Gasse|Platz|Allee)) \d{{1,4}}(?: ?[a-z])?(?!\w)"
-    rf"|(?<![\w-])\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|all[ée]e|impasse|chemin|boulevard|bd|place|quai|passage|cours|square) (?:de la |de l['’]|des |du |de |d['’])?{_CAP}(?:, (?:apt|appt|appartement|bât)\.? \w{{1,4}}\b)?"
-    rf"|(?<![\w-])(?:Calle|C/|Plaza|Pl\.|Avda\.?|Avenida|Av\.|Paseo|Camino|Ronda|Travesía) (?:de los |de las |de la |del |de )?{_CAP},? \d{{1,4}}(?:, \d{{1,2}}\.?º(?: ?[A-Z]\b)?)?"
-)
+#: For each language: words of which one occurs in every address, and its pattern.
+ADDRESSES = [
+    (("Street", "St.", "Road", "Rd.", "Lane", "Ln.", "Avenue", "Ave", "Close", "Court", "Ct.", "Drive", "Dr.", "Way", "Place", "Square", "Terrace", "Crescent", "Boulevard", "Blvd", "Row", "Gardens", "Mews", "Grove"),
+     re.compile(rf"(?<![\w-])\d{{1,4}}[A-Za-z]? (?:{_CAP} ){{1,3}}{_EN_TYPE}(?!\w){_UNIT}")),
+    (("stra", "Stra", "str.", "weg", "Weg", "gasse", "Gasse", "platz", "Platz", "allee", "Allee", "ufer", "damm", "ring", "steig"),
+     re.compile(rf"(?<![\w-])(?:[A-ZÄÖÜ][\w-]*(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig)|{_CAP} (?:Straße|Weg|Gasse|Platz|Allee)) \d{{1,4}}(?: ?[a-z])?(?!\w)")),
+    (("rue ", "avenue ", "av. ", "llée ", "llee ", "impasse ", "chemin ", "boulevard ", "bd ", "place ", "quai ", "passage ", "cours ", "square "),
+     re.compile(rf"(?<![\w-])\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|all[ée]e|impasse|chemin|boulevard|bd|place|quai|passage|cours|square) (?:de la |de l['’]|des |du |de |d['’])?{_CAP}(?:, (?:apt|appt|appartement|bât)\.? \w{{1,4}}\b)?")),
+    (("Calle", "C/", "Plaza", "Pl.", "Avda", "Avenida", "Av.", "Paseo", "Camino", "Ronda", "Travesía"),
+     re.compile(rf"(?<![\w-])(?:Calle|C/|Plaza|Pl\.|Avda\.?|Avenida|Av\.|Paseo|Camino|Ronda|Travesía) (?:de los |de las |de la |del |de )?{_CAP},? \d{{1,4}}(?:, \d{{1,2}}\.?º(?: ?[A-Z]\b)?)?")),
+]
 #: Words that name an identity number.
 ID_LABEL = re.compile(
     r"(?:\bssn|social\s+security|national\s+id|\bpassport|\bidentity\s+(?:card|no|number)|\btax\s+id|\bsteuer|\bsozialvers|\bsv-n|\bausweis|\breisepass|"
@@ -72,9 +82,13 @@ WEAK_ADDRESS = re.compile(rf"(?<![\w-])\d{{1,4}}[A-Z]? {_CAP} {_CAP}(?!\w){_UNIT
 TITLES = {"dr", "prof", "mr", "mrs", "ms", "miss", "sir", "herr", "frau", "don", "doña", "sr", "sra", "srta", "mme", "mlle", "monsieur", "madame"}
 PARTICLES = {"van", "der", "den", "von", "de", "la", "del", "du", "di", "da", "le", "ten", "ter", "dos", "zu"}
 _TOKEN = re.compile(r"[^\W\d_](?:[\w'’]|-(?=\w))*|\d+|\n|[^\w\s]")
-_GAP = r"[ \t ]*\n?[ \t ]*"
-_WORD = re.compile(r"(?<![\w@.+/-])[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*(?![\w@/])")
-_SEP = re.compile(r"[ \t ]*\n?[ \t ]*$")
+_SEP = r"[ \t\u00a0\u202f]*\n?[ \t\u00a0\u202f]*"
+_CAPITALISED = re.compile(r"(?<![\w@.+/-])[^\W\d_a-zß-öø-ÿ](?:[^\W\d_]|['’-](?=[^\W\d_]))+(?![\w@/])")
+_WORD = re.compile(r"(?<![\w@.+/-])[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+(?![\w@/])")
+#: What may lie between given and family name: blanks and one line end, initials, particles; or a comma.
+_BETWEEN = re.compile(rf"(?=[\s,])(?:,{_SEP}|{_SEP}(?:(?:[^\W\d_]\.|{'|'.join(sorted(PARTICLES))})(?=\s){_SEP})*)", re.I)
+_INITIAL_AFTER = re.compile(r"[ \u00a0][^\W\d_]\.(?!\w)")
+_PARTICLES_BEFORE = re.compile(r"(?<!\w)(?:(?:van|von|der|den)\s)+$|(?<!\w)de\sla\s$", re.I)
 
 
 def context(text: str, start: int, end: int) -> tuple[str, str]:
@@ -111,58 +125,32 @@ def _case(word: str) -> str:
     return "l" if word.islower() else "u" if word.isupper() and len(word) > 1 else "t" if word[0].isupper() else "x"
 
 
-def name_windows(text: str, any_case: bool) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, given, family, case) of neighbouring words that could be a
-    name: ``G F``, ``G X. F``, ``G van der F`` and ``F, G`` with blanks or one
-    line end between them."""
-    words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
-    n = len(words)
-    for i in range(n - 1):
-        start, end, first = words[i]
-        kind = _case(first)
-        low = first.casefold()
-        if kind == "x" or kind == "l" and not any_case or len(first) < 2 or low in TITLES or low in PARTICLES:
-            continue
-        j, gap_from, comma = i + 1, end, False
-        gap = text[gap_from:words[j][0]]
-        if gap.startswith(","):
-            comma, gap = True, gap[1:]
-        if not gap or not _SEP.match(gap):
+def name_windows(text: str, words: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, given, family) of words of the list that follow each other as
+    ``G F``, ``G X. F``, ``G van der F`` or ``F, G X.``."""
+    for (start, end, first), (s, e, second) in zip(words, words[1:]):
+        if s - end > 40:
             continue
-        given_end = None
-        if not comma:
-            # initials and particles between given and family name
-            while j < n - 1:
-                s, e, w = words[j]
-                if len(w) == 1 and text[e:e + 1] == ".":
-                    gap = text[e + 1:words[j + 1][0]]
-                elif w.casefold() in PARTICLES:
-                    gap = text[e:words[j + 1][0]]
-                else:
-                    break
-                if not gap or not _SEP.match(gap):
-                    break
-                j += 1
-        s, e, second = words[j]
-        second_kind = _case(second)
-        if len(second) < 2 or second.casefold() in TITLES or second.casefold() in PARTICLES:
+        gap = text[end:s]
+        if not _BETWEEN.fullmatch(gap):
             continue
-        if second_kind != kind and not (kind in "tu" and second_kind in "tu"):
+        one, two = _case(first), _case(second)
+        if one != two and not (one in "tu" and two in "tu"):
             continue
-        given_end = e
-        if comma:
-            # F, G X. with particles before F
-            tail = re.match(r"[  ][^\W\d_]\.(?!\w)", text[e:e + 3])
-            if tail:
-                given_end = e + tail.end()
-            k = i
-            while k and words[k - 1][2].casefold() in {"van", "von", "der", "den"} and text[words[k - 1][1]:words[k][0]].isspace():
-                k -= 1
-            if k == i and i > 1 and words[i - 1][2].casefold() == "la" and words[i - 2][2].casefold() == "de" and text[words[i - 2][1]:words[i][0]].strip(" ") == "la":
-                k = i - 2
-            yield words[k][0], given_end, second.casefold(), low, kind
+        if gap[0] == ",":
+            tail = _INITIAL_AFTER.match(text, e)
+            before = _PARTICLES_BEFORE.search(text, max(0, start - 24), start)
+            yield before.start() if before else start, tail.end() if tail else e, second.casefold(), first.casefold()
         else:
-            yield start, given_end, low, second.casefold(), kind
+            yield start, e, first.casefold(), second.casefold()
+
+
+def capitalised(text: str) -> list[tuple[int, int, str]]:
+    """Capitalised words that are no title and no particle."""
+    return [
+        (*m.span(), w) for m in _CAPITALISED.finditer(text)
+        if (low := (w := m.group()).casefold()) not in TITLES and low not in PARTICLES and w[0].isupper()
+    ]
 
 
 def name_seed(given: str, family: str, locals_: list[str]) -> bool:
@@ -180,13 +168,22 @@ def name_seed(given: str, family: str, locals_: list[str]) -> bool:
 def scan(text: str) -> list[tuple[str, int, int, str, str, str, str | None, str, str]]:
     """(class, start, end, instance, pattern, pattern, seed, given, family) of a text."""
     out = []
-    mails = [(m.start(), m.end(), m.group()) for m in EMAIL.finditer(text)]
+    mails = []
+    low = text.lower()
+    for m in _AT_DOMAIN.finditer(text) if any(sign in low for sign in _AT_SIGNS) else ():
+        from_ = max(mails[-1][1] if mails else 0, m.start() - LOCAL_CHARS)
+        local = _LOCAL_END.search(text[from_:m.start()])
+        if local:
+            mails.append((from_ + local.start(), m.end(), text[from_ + local.start():m.end()]))
     for start, end, value in mails:
         out.append(("mail", start, end, value.casefold(), *context(text, start, end), "email", "", ""))
     taken = [(s, e) for s, e, _ in mails]
-    for m in ADDRESS.finditer(text):
-        taken.append(m.span())
-        out.append(("place", *m.span(), m.group().casefold(), *context(text, *m.span()), "address", "", ""))
+    for needed, pattern in ADDRESSES:
+        if any(word in text for word in needed):
+            for m in pattern.finditer(text):
+                if not any(s < m.end() and m.start() < e for s, e in taken):
+                    taken.append(m.span())
+                    out.append(("place", *m.span(), m.group().casefold(), *context(text, *m.span()), "address", "", ""))
     for m in WEAK_ADDRESS.finditer(text):
         if not any(s < m.end() and m.start() < e for s, e in taken):
             out.append(("place", *m.span(), m.group().casefold(), *context(text, *m.span()), None, "", ""))
@@ -200,7 +197,7 @@ def scan(text: str) -> list[tuple[str, int, int, str, str, str, str | None, str,
             seed = "id_number" if labelled(text, m.start()) else number_seed(m.group())
             out.append(("number", *m.span(), re.sub(r"\D", "", m.group()), *context(text, *m.span()), seed, "", ""))
     locals_ = [re.split(r"[@＠\s\[({<]", v, maxsplit=1)[0].casefold() for _, _, v in mails]
-    for start, end, given, family, _ in name_windows(text, False):
+    for start, end, given, family in name_windows(text, capitalised(text)):
         seed = "name" if mails and name_seed(given, family, locals_) else None
         out.append(("person", start, end, f"{given} {family}", *context(text, start, end), seed, given, family))
     return out
@@ -316,7 +313,8 @@ def spans(text: str, patterns: dict[tuple[str, str], tuple[str, float]], given:
                 found.append((2.0 + best[1] / 10, start, end, best[0]))
             elif g in given or _is_family(f, family) or seed or best[1] >= 0.85:
                 found.append((1.0 + best[1] / 10, start, end, "name"))
-    for start, end, g, f, _ in name_windows(text, True):
+    known = [(*m.span(), w) for m in _WORD.finditer(text) if (low := (w := m.group()).casefold()) in given or _is_family(low, family)]
+    for start, end, g, f in name_windows(text, known):
         if g in given and _is_family(f, family) or f in given and _is_family(g, family):
             found.append((1.5, start, end, "name"))
     return resolve(found)
