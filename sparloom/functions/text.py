@@ -89,7 +89,7 @@ def after_reasoning(text: Column) -> Column:
 
 def escape_repaired(text: Column) -> Column:
     """Backslashes that start no JSON escape are doubled."""
-    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\")
 
 
 def tail(text: Column, n: int) -> Column:

@@ -60,10 +60,10 @@ def run_summary(results: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return results.agg(
         n.alias("selected"), F.count_if("passed").alias("passed"),
-        F.bround(F.count_if("passed") / n, 6).alias("pass_at_1"),
+        F.bround(F.try_divide(F.count_if("passed"), n), 6).alias("pass_at_1"),
         F.count_if(F.col("tests_passed") > 0).alias("tasks_with_a_pass"),
         F.sum("tests_run").alias("tests_run"), F.sum("tests_passed").alias("tests_passed"), F.sum("tests_total").alias("tests_total"),
-        F.bround(F.sum("tests_passed") / F.sum("tests_total"), 6).alias("test_pass_rate"),
+        F.bround(F.try_divide(F.sum("tests_passed"), F.sum("tests_total")), 6).alias("test_pass_rate"),
     )
 
 

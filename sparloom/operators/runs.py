@@ -56,15 +56,15 @@ def length_summary(df: DataFrame, by: str, length: str) -> DataFrame:
 def length_summary_exact(df: DataFrame, by: str, length: str) -> DataFrame:
     """The same without gathering a group: lengths are counted first, ranks come
     from running sums over the distinct lengths, which are few."""
-    per = df.where(F.col(length).isNotNull()).groupBy(by, length).agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy(by).orderBy(length)
-    ranked = per.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(W.partitionBy(by)))
-    p95_rank = F.greatest(F.lit(1), F.least(F.col("n"), F.floor(F.col("n") * 0.95)))
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col(length)))
-    return ranked.groupBy(by).agg(
-        F.max("n").alias("n"), F.min(length).alias("shortest"),
-        ((at(low) + at(high)) / 2).cast("long").alias("median"), at(p95_rank).alias("p95"), F.max(length).alias("longest"),
+    per = df.where(F.col(length).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(length).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    w = W.partitionBy("_by").orderBy("_v")
+    ranked = per.withColumn("_upto", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(W.partitionBy("_by")))
+    p95_rank = F.greatest(F.lit(1), F.least(F.col("_n"), F.floor(F.col("_n") * 0.95)))
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    return ranked.groupBy(F.col("_by").alias(by)).agg(
+        F.max("_n").alias("n"), F.min("_v").alias("shortest"),
+        ((at(low) + at(high)) / 2).cast("long").alias("median"), at(p95_rank).alias("p95"), F.max("_v").alias("longest"),
     )
 
 
