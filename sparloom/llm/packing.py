@@ -197,5 +197,5 @@ def fill_report(containers: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     per = containers.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
     return per.agg(
         F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"),
-        F.bround(F.sum("used") / (F.count(F.lit(1)) * capacity), 6).alias("fill"),
+        F.bround(F.try_divide(F.sum("used"), F.count(F.lit(1)) * capacity), 6).alias("fill"),
     )
