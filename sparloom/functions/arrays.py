@@ -44,3 +44,28 @@ def index_p95(values: Column) -> Column:
     n = F.size(values)
     at = F.greatest(F.lit(1), F.least(n, F.floor(n * F.lit(0.95)).cast("int")))
     return F.element_at(F.array_sort(values), at)
+
+
+def unwrap_ids(ids: Column) -> Column:
+    """Ids of a text from nested lists: the inner lists one after the other."""
+    return F.flatten(ids)
+
+
+def replace_at(items: Column, index: Column, value: Column) -> Column:
+    """The array with another element at a position counted from 0; out of range changes nothing."""
+    return F.transform(items, lambda x, i: F.when(i == index, value).otherwise(x))
+
+
+def append_or_replace(items: Column, index: Column, value: Column) -> Column:
+    """As :func:`replace_at`, and one past the end appends."""
+    return F.when(index == F.size(items), F.array_append(items, value)).otherwise(replace_at(items, index, value))
+
+
+def integer_keys(entries: Column) -> Column:
+    """A map whose text keys become integers; left out where a key is none."""
+    return F.map_from_entries(
+        F.filter(
+            F.transform(F.map_entries(entries), lambda e: F.struct(e["key"].try_cast("bigint").alias("key"), e["value"].alias("value"))),
+            lambda e: e["key"].isNotNull(),
+        )
+    )

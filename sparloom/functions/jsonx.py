@@ -62,6 +62,28 @@ def canonical_contract(text: Column) -> Column:
     return F.when(is_object(text), F.coalesce(project(""), project("contract.")))
 
 
+def contract_fault(text: Column) -> Column:
+    """Why a text is no strict contract, null if it is one: missing, invalid_json,
+    missing_keys, extra_keys or wrong_types."""
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), f"$.{k}", "variant"))
+    typed = kind("interface").startswith("OBJECT")
+    for section in ("preconditions", "postconditions", "invariants"):
+        typed = typed & kind(section).startswith("ARRAY")
+    return (
+        F.when(text.isNull() | (F.trim(text) == ""), "missing").when(~is_object(text), "invalid_json")
+        .when(F.size(missing_keys(text)) > 0, "missing_keys").when(F.size(extra_keys(text)) > 0, "extra_keys")
+        .when(~F.coalesce(typed, F.lit(False)), "wrong_types")
+    )
+
+
+def contract_source(contract: Column, response: Column) -> Column:
+    """Where a contract is to be taken from: parsed, raw or none. An explicit JSON null is none."""
+    return (
+        F.when(F.trim(contract) == "null", "none").when(canonical_contract(contract).isNotNull(), "parsed")
+        .when(F.regexp_like(response, F.lit(r"\S")), "raw").otherwise("none")
+    )
+
+
 def scan_object(text: str) -> str | None:
     """The first complete ``{...}`` of a text: depth is counted outside of strings."""
     start = text.find("{")

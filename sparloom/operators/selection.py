@@ -53,3 +53,18 @@ def require_none(df: DataFrame, message: str, key: str, show: int = 20) -> None:
     bad = [r[0] for r in df.select(key).distinct().orderBy(key).limit(show).collect()]
     if bad:
         raise ValueError(f"{message}: {', '.join(map(str, bad))}")
+
+
+def chat_example(system: Column, user: Column, assistant: Column) -> Column:
+    """Messages of one training example, in the order system, user, assistant."""
+    return F.array(*[F.struct(F.lit(role).alias("role"), c.alias("content")) for role, c in (("system", system), ("user", user), ("assistant", assistant))])
+
+
+def chat_fault(messages: Column) -> Column:
+    """Why messages are no example: message_count, role_order, empty_prompt or empty_target; null if they are one."""
+    roles = F.transform(messages, lambda m: m["role"])
+    return (
+        F.when(messages.isNull() | (F.size(messages) != 3), "message_count")
+        .when(roles != F.array(F.lit("system"), F.lit("user"), F.lit("assistant")), "role_order")
+        .when(is_blank(messages[1]["content"]), "empty_prompt").when(is_blank(messages[2]["content"]), "empty_target")
+    )

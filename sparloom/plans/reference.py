@@ -599,3 +599,68 @@ def removed_records(spark, sf_dir):
     )
     rows = _training(spark, sf_dir).select("split", "item_no", reason.alias("reason")).where("reason IS NOT NULL")
     return rows.where("split = 'train'").unionByName(rows.where("split = 'val'"))
+
+
+# --- more on contracts, chat examples and nested values ------------------------------
+
+FAULT_SQL = f"""CASE WHEN contract IS NULL OR trim(contract) = '' THEN 'missing' WHEN NOT {VALID_SQL} THEN 'invalid_json'
+WHEN len(list_filter({KEYS_SQL}, lambda k: NOT list_contains(json_keys(contract), k))) > 0 THEN 'missing_keys'
+WHEN len(list_filter(json_keys(contract), lambda k: NOT list_contains({KEYS_SQL}, k))) > 0 THEN 'extra_keys'
+WHEN json_type(contract, '$.interface') <> 'OBJECT' OR json_type(contract, '$.preconditions') <> 'ARRAY' OR json_type(contract, '$.postconditions') <> 'ARRAY' OR json_type(contract, '$.invariants') <> 'ARRAY' THEN 'wrong_types' END"""
+
+
+@query(f"SELECT record_id, {FAULT_SQL} AS fault FROM contract_record")
+def contract_faults(spark, sf_dir):
+    return table(spark, sf_dir, "contract_record").select("record_id", jsonx.contract_fault(F.col("contract")).alias("fault"))
+
+
+@query(f"""SELECT source, count(*) AS n FROM (SELECT CASE WHEN trim(contract) = 'null' THEN 'none' WHEN {VALID_SQL} AND len(list_filter({KEYS_SQL}, lambda k: NOT list_contains(json_keys(contract), k))) = 0 THEN 'parsed'
+WHEN regexp_matches(raw_response, '\\S') THEN 'raw' ELSE 'none' END AS source FROM contract_record) GROUP BY 1""".replace("\\\\", "\\"))
+def contract_sources(spark, sf_dir):
+    source = jsonx.contract_source(F.col("contract"), F.col("raw_response"))
+    return table(spark, sf_dir, "contract_record").groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = F.when(F.col("contract").isNotNull(), F.to_json("contract", {"ignoreNullFields": "false"}))
+    messages = selection.chat_example(F.lit("Write the contract of the task as JSON."), text.normalize_prompt(F.col("original_prompt")), target)
+    return _training(spark, sf_dir).select("item_no", "split", messages.alias("messages"))
+
+
+@query("""SELECT item_no, CASE WHEN NOT regexp_matches(coalesce(original_prompt, ''), '\\S') THEN 'empty_prompt' WHEN contract IS NULL THEN 'empty_target' END AS fault FROM training_data""".replace("\\\\", "\\"))
+def chat_faults(spark, sf_dir):
+    return _examples(spark, sf_dir).select("item_no", selection.chat_fault(F.col("messages")).alias("fault"))
+
+
+@query("""SELECT split, count(*) AS total, count(*) FILTER (regexp_matches(coalesce(original_prompt, ''), '\\S') AND contract IS NOT NULL) AS retained,
+count(*) FILTER (NOT regexp_matches(coalesce(original_prompt, ''), '\\S') OR contract IS NULL) AS removed FROM training_data GROUP BY 1""".replace("\\\\", "\\"))
+def retained_totals(spark, sf_dir):
+    rows = _examples(spark, sf_dir).select("split", selection.chat_fault(F.col("messages")).alias("fault"))
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("fault").isNull()).alias("retained"), F.count("fault").alias("removed"))
+
+
+@query("""SELECT item_no, array_to_string(list_transform(contract.postconditions, lambda c, i: CASE WHEN i = 1 THEN 'Q0' ELSE c.id END), ',') AS ids FROM training_data WHERE contract.postconditions IS NOT NULL""")
+def patched_clauses(spark, sf_dir):
+    """The first postcondition replaced by another value."""
+    ids = F.transform("contract.postconditions", lambda c: c["id"])
+    rows = _training(spark, sf_dir).where("contract.postconditions IS NOT NULL")
+    return rows.select("item_no", F.array_join(arrays.replace_at(ids, F.lit(0), F.lit("Q0")), ",").alias("ids"))
+
+
+@query("""SELECT item_no, contract.interface.mode AS mode, contract.interface.function_name AS function_name, contract.interface.signature AS signature FROM training_data WHERE contract IS NOT NULL""")
+def trimmed_interfaces(spark, sf_dir):
+    """Interfaces without their channels and class."""
+    face = F.col("contract.interface").dropFields("input_channel", "output_channel", "class_name")
+    return _training(spark, sf_dir).where("contract IS NOT NULL").select("item_no", face.alias("f")).select("item_no", "f.*")
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
+def event_properties(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"))
+
+
+@query("""SELECT vec_id, len(embedding) AS n, len(list_filter(embedding, lambda x: x > 0)) AS n_positive FROM embeddings""")
+def flattened_vectors(spark, sf_dir):
+    """Nested lists of one element unwrapped."""
+    ids = arrays.unwrap_ids(F.array("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(ids).cast("long").alias("n"), F.size(F.filter(ids, lambda x: x > 0)).cast("long").alias("n_positive"))

@@ -57,3 +57,14 @@ def test_arrays(spark):
     n = spark.createDataFrame([(0,), (1,), (2,), (10,), (25,), (35,)], "n long")
     assert [r[0] for r in n.select(arrays.validation_count(F.col("n"), 0.1)).collect()] == [0, 0, 1, 1, 2, 4]
     assert [r[0] for r in spark.createDataFrame([(list(range(1, 11)),), (list(range(1, 22)),)], "v array<int>").select(arrays.index_p95(F.col("v"))).collect()] == [9, 19]
+
+
+def test_nested(spark):
+    df = spark.createDataFrame([([[1, 2]], ["a", "b"], {"1": "x", "k": "y"}), (None, None, None)], "n array<array<int>>, s array<string>, m map<string,string>")
+    row = df.select(
+        arrays.unwrap_ids(F.col("n")), arrays.replace_at(F.col("s"), F.lit(1), F.lit("z")), arrays.append_or_replace(F.col("s"), F.lit(2), F.lit("z")), arrays.integer_keys(F.col("m"))
+    ).collect()
+    assert tuple(row[0]) == ([1, 2], ["a", "z"], ["a", "b", "z"], {1: "x"})
+    assert row[1][0] is None and row[1][1] is None
+    whole = {"interface": {}, "preconditions": [], "postconditions": [], "invariants": []}
+    check(spark, jsonx.contract_fault, [(None, "missing"), ("{", "invalid_json"), ("{}", "missing_keys"), (json.dumps(whole | {"x": 1}), "extra_keys"), (json.dumps(whole | {"interface": []}), "wrong_types"), (json.dumps(whole), None)])
