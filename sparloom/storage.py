@@ -60,3 +60,28 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application.
+
+    Workers import it by name; where it is not installed on the nodes, and not on
+    their path, they get it as a zip file from the driver.
+    """
+    import shutil
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="sparloom-package-")
+    staging = Path(folder) / "tree"
+    shutil.copytree(here, staging / here.name, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{folder}/sparloom", "zip", staging))
+    shutil.rmtree(staging)
+    atexit.register(shutil.rmtree, folder, True)
+    _SHIPPED.add(context.applicationId)
