@@ -6,17 +6,20 @@ are equal, or their statements are equal or nearly so. Statements:
 1. A statement becomes its words (markup and case aside). Equal word sequences
    of one side form a *class*; only classes are compared, membership is joined
    back at the end.
-2. Words are cut into *content-defined chunks*: a rolling hash over the last
-   words decides where a chunk ends, so an edit only changes chunks near by.
-   Runs of 2, 4 and 8 neighbouring chunks are digested too.
-3. Digests are joined across the sides. A digest that many classes of either
-   side hold is *hot*: it is left out, since longer runs around it, which are
-   rarer, stand for it; runs of 8 chunks are joined however hot they are. So no
-   join group grows with the corpus unless its members are near copies.
-4. For each pair of classes that share a digest, the lengths of all their shared
-   chunks, hot ones too, are summed into an overlap fraction; pairs over
-   ``MIN_OVERLAP`` are checked exactly by the longest common subsequence of
-   their words.
+2. A class becomes *tokens*, a word with the number of its occurrence, so that
+   two classes share as many tokens as their words have in common. Two near
+   classes share at least ``SHARE`` of the tokens of the longer one. Hence, with
+   all tokens in one order, the first ``n - SHARE * n + DEPTH * n`` tokens of
+   both (their *heads*) share at least ``DEPTH * n`` of the shorter one. This
+   holds in any order; tokens of few pairs of classes come first, so that heads
+   of unlike classes share little.
+3. Classes of each side are dealt into blocks of about ``BLOCK``, and each block
+   meets each block of the other side in a task of its own. There the shared
+   tokens of the heads are counted through an index; pairs with enough of them
+   are checked exactly, the order by the longest common subsequence of their
+   words. No pair that meets the rule is lost, however common its wording is;
+   no task grows with the corpus. The number of tasks does, as the product of
+   the sides: that is the price of leaving nothing out.
 
 Defined results: ids null, ``""``, ``"None"`` or blank never match, blank or
 null hashes neither; a statement of fewer than ``MIN_WORDS`` words (null, empty,
@@ -28,21 +31,20 @@ is one row; with either side empty there are no pairs.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-WINDOW = 2
-DIVISOR = 3
-MAX_CHUNK = 12
-LEVELS = (1, 2, 4, 8)
+BLOCK = 8192
+COMMON = 30_000
+DEPTH = 0.2
 MIX = 0x9E3779B97F4A7C15
-HOT_PAIRS = 64
 MIN_WORDS = 8
-MIN_OVERLAP = 0.08
 SHARE = 0.72
 ORDER = 0.7
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|&(?:nbsp|lt|gt|amp|quot|#\d+);")
@@ -53,18 +55,8 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(_TAG.sub(" ", text).casefold())
 
 
-def _digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
-
-
-def _signed(value: int) -> int:
-    """The low 64 bits as a signed number, high bits folded in."""
-    value = (value ^ value >> 64) & 0xFFFFFFFFFFFFFFFF
-    return value - (1 << 64) if value >> 63 else value
-
-
-class Chunker:
-    """Cuts word sequences; hashes of words are kept in a bounded dictionary."""
+class Tokens:
+    """Tokens of word sequences as numbers; hashes of words are kept in a bounded dictionary."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
@@ -74,41 +66,31 @@ class Chunker:
         if got is None:
             if len(self.known) >= 200_000:
                 self.known.clear()
-            got = self.known[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "big")
+            got = self.known[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
         return got
 
-    def cut(self, words: list[str]) -> list[list[str]]:
-        """Chunks that end where the hash of the last WINDOW words is divisible by DIVISOR."""
-        chunks, start, before = [], 0, 0
-        for i, word in enumerate(words):
-            h = self._hash(word)
-            rolled = (before * 31 + h) & 0xFFFFFFFF
-            before = h
-            if (rolled >> 7) % DIVISOR == 0 or i - start + 1 >= MAX_CHUNK:
-                chunks.append(words[start:i + 1])
-                start = i + 1
-        if start < len(words):
-            chunks.append(words[start:])
-        return chunks
-
-    def marks(self, words: list[str]) -> list[int]:
-        """The distinct chunks as digests whose last four bits hold the number of words."""
-        return sorted({_digest(" ".join(c)) & ~15 | len(c) for c in self.cut(words)})
-
-    def digests(self, words: list[str]) -> list[tuple[int, int]]:
-        """(level, digest) of every run of chunks, each once.
-
-        A run of twice as many chunks is digested from its halves.
-        """
-        row = [_digest(" ".join(c)) for c in self.cut(words)]
-        out = [(1, d) for d in set(row)]
-        for level in LEVELS[1:]:
-            half = level // 2
-            row = [_signed((row[i] * MIX + row[i + half]) * MIX + level) for i in range(len(row) - half)]
-            out += [(level, d) for d in set(row)]
+    def of(self, words: list[str]) -> list[int]:
+        """One signed number for each word with its occurrence."""
+        seen: dict[str, int] = {}
+        out = []
+        for word in words:
+            seen[word] = n = seen.get(word, 0) + 1
+            value = (self._hash(word) + n * MIX) & 0xFFFFFFFFFFFFFFFF
+            out.append(value - (1 << 64) if value >> 63 else value)
         return out
 
 
+def head_of(tokens: list[int], ranks: dict[int, int]) -> list[int]:
+    """The first tokens, those without a rank before the others, that near classes must share some of."""
+    n = len(tokens)
+    return sorted(tokens, key=lambda t: (ranks.get(t, -1), t))[:n - math.ceil(SHARE * n) + depth_of(n)]
+
+
+def depth_of(n: int) -> int:
+    """Least number of head tokens shared by near classes of which the shorter one has ``n`` words."""
+    return math.ceil(DEPTH * n)
+
+
 def lcs_length(a: list[str], b: list[str]) -> int:
     """Longest common subsequence, bit-parallel over the words of ``a``."""
     masks: dict[str, int] = {}
@@ -122,11 +104,14 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+def near(a: list[str], b: list[str], common: int) -> bool:
+    """Whether ``common`` shared words are enough of the longer one, and enough of them in order."""
+    return common >= SHARE * max(len(a), len(b)) and lcs_length(a, b) >= ORDER * common
+
+
 def same_statement(a: list[str], b: list[str]) -> bool:
     """Whether enough words of the longer one recur in the other, in order."""
-    longer = max(len(a), len(b))
-    common = sum((Counter(a) & Counter(b)).values())
-    return common >= SHARE * longer and lcs_length(a, b) >= ORDER * common
+    return near(a, b, sum((Counter(a) & Counter(b)).values()))
 
 
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,69 +143,92 @@ def hash_key(column: Column) -> Column:
     return F.nullif(F.lower(F.trim(column)), F.lit(""))
 
 
-def _slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
-    """Batches in small slices, for stages that make many rows of one."""
-    for pdf in batches:
-        for at in range(0, len(pdf), rows):
-            yield pdf.iloc[at:at + rows]
-
-
-def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    chunker = Chunker()
-    for pdf in _slices(batches):
-        sides, classes, levels, digests = [], [], [], []
-        for side, cls, words in zip(pdf["side"], pdf["cls"], pdf["words"]):
-            found = chunker.digests(words.split(" "))
-            sides += [side] * len(found)
-            classes += [cls] * len(found)
-            levels += [level for level, _ in found]
-            digests += [digest for _, digest in found]
-        yield pd.DataFrame({"side": sides, "cls": classes, "level": levels, "digest": digests})
-
-
-def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    chunker = Chunker()
-    for pdf in _slices(batches, 1024):
-        yield pdf[["side", "cls", "n_words"]].assign(marks=[chunker.marks(w.split(" ")) for w in pdf["words"]])
-
-
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _token_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tokens = Tokens()
     for pdf in batches:
-        keep = [same_statement(a.split(" "), b.split(" ")) for a, b in zip(pdf["words_a"], pdf["words_b"])]
-        yield pdf.loc[keep, ["cls_a", "cls_b"]]
+        sides = {"train": Counter(), "eval": Counter()}
+        for side, words in zip(pdf["side"], pdf["words"]):
+            sides["train" if side == "train" else "eval"].update(tokens.of(words.split(" ")))
+        a, b = sides["train"], sides["eval"]
+        both = list(a.keys() | b.keys())
+        yield pd.DataFrame({"token": both, "n_a": [a[t] for t in both], "n_b": [b[t] for t in both]}, dtype="int64")
+
+
+def common_tokens(classes: DataFrame) -> list[int]:
+    """The tokens of most pairs of classes, at most ``COMMON``, rarest first."""
+    pairs = F.col("n_a").cast("double") * F.col("n_b")
+    top = (
+        classes.select("side", "words").mapInPandas(_token_counts, "token long, n_a long, n_b long")
+        .groupBy("token").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+        .where((F.col("n_a") > 0) & (F.col("n_b") > 0)).orderBy(pairs.desc(), "token").limit(COMMON)
+    )
+    return [r["token"] for r in top.collect()][::-1]
+
+
+def _heads(common: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens, ranks = Tokens(), {t: i for i, t in enumerate(common)}
+        for pdf in batches:
+            heads = [np.array(head_of(tokens.of(w.split(" ")), ranks), dtype="int64").tobytes() for w in pdf["words"]]
+            yield pdf[["side", "cls", "n_words", "words"]].assign(head=heads)
+
+    return run
+
+
+def _candidates(mine: pd.DataFrame, theirs: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Row of ``mine`` and rows of ``theirs`` whose heads share enough tokens, by an index of ``theirs``."""
+    sizes = np.array([len(h) // 8 for h in theirs["head"]])
+    listed = np.frombuffer(b"".join(theirs["head"]), dtype="int64")
+    order = np.argsort(listed, kind="stable")
+    rows = np.repeat(np.arange(len(theirs)), sizes)[order]
+    keys, starts = np.unique(listed[order], return_index=True)
+    ends = np.append(starts[1:], len(rows))
+    lengths = theirs["n_words"].to_numpy()
+    depths = np.array([depth_of(n) for n in lengths])
+    for i, (n, head) in enumerate(zip(mine["n_words"], mine["head"])):
+        head = np.frombuffer(head, dtype="int64")
+        at = np.minimum(np.searchsorted(keys, head), len(keys) - 1)
+        at = at[keys[at] == head]
+        if len(at):
+            shared = np.bincount(np.concatenate([rows[starts[k]:ends[k]] for k in at]), minlength=len(theirs))
+            enough = (shared >= np.minimum(depths, depth_of(n))) & (np.minimum(lengths, n) >= SHARE * np.maximum(lengths, n))
+            yield i, np.flatnonzero(enough)
+
+
+def _meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+    found = []
+    if len(mine) and len(theirs):
+        names, read = theirs["cls"].tolist(), {}
+        for i, rows in _candidates(mine, theirs):
+            if not len(rows):
+                continue
+            cls, words = mine["cls"].iat[i], mine["words"].iat[i].split(" ")
+            counted = Counter(words)
+            for j in rows:
+                if names[j] == cls:
+                    continue
+                if j not in read:
+                    read[j] = (other := theirs["words"].iat[j].split(" ")), Counter(other)
+                other, held = read[j]
+                if near(words, other, sum(min(k, held[w]) for w, k in counted.items() if w in held)):
+                    found.append((cls, names[j]))
+    return pd.DataFrame(found, columns=["cls_a", "cls_b"], dtype=object)
 
 
 def near_classes(classes: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """cls_a (train), cls_b (evaluation) of different classes with nearly the same statement."""
-    digests = stage(classes.mapInPandas(_explode, "side string, cls string, level int, digest long"), "digests")
+    heads = stage(classes.mapInPandas(_heads(common_tokens(classes)), "side string, cls string, n_words int, words string, head binary"), "heads")
     is_a = F.col("side") == "train"
-    joinable = (
-        digests.groupBy("level", "digest")
-        .agg(F.count_if(is_a).alias("n_a"), F.count_if(~is_a).alias("n_b"))
-        .where((F.col("n_a") > 0) & (F.col("n_b") > 0))
-        .where((F.col("n_a") * F.col("n_b") <= HOT_PAIRS) | (F.col("level") == LEVELS[-1]))
-        .select("level", "digest")
-    )
-    kept = stage(digests.join(joinable, ["level", "digest"]), "joinable")
-    a = kept.where(is_a).select("level", "digest", F.col("cls").alias("cls_a"))
-    b = kept.where(~is_a).select("level", "digest", F.col("cls").alias("cls_b"))
-    sharing = a.join(b, ["level", "digest"]).where(F.col("cls_a") != F.col("cls_b")).select("cls_a", "cls_b").distinct()
-    marks = stage(classes.mapInPandas(_marks, "side string, cls string, n_words int, marks array<long>"), "marks")
-    mine = marks.where(is_a).select(F.col("cls").alias("cls_a"), F.col("n_words").alias("n_a"), F.col("marks").alias("marks_a"))
-    theirs = marks.where(~is_a).select(F.col("cls").alias("cls_b"), F.col("n_words").alias("n_b"), F.col("marks").alias("marks_b"))
-    longer = F.greatest("n_a", "n_b")
-    shared = F.aggregate(F.array_intersect("marks_a", "marks_b"), F.lit(0).cast("long"), lambda total, m: total + m.bitwiseAND(F.lit(15).cast("long")))
-    candidates = stage(
-        sharing.join(mine, "cls_a").join(theirs, "cls_b")
-        .where(F.least("n_a", "n_b") >= longer * SHARE).where(shared >= longer * MIN_OVERLAP).select("cls_a", "cls_b"), "candidates"
-    )
-    sizes = classes.select("side", "cls", "words")
-    return (
-        candidates
-        .join(sizes.where(is_a).select(F.col("cls").alias("cls_a"), F.col("words").alias("words_a")), "cls_a")
-        .join(sizes.where(~is_a).select(F.col("cls").alias("cls_b"), F.col("words").alias("words_b")), "cls_b")
-        .mapInPandas(_verify, "cls_a string, cls_b string")
-    )
+    n_a, n_b = (max(1, -(-heads.where(c).count() // BLOCK)) for c in (is_a, ~is_a))
+
+    def dealt(own: str, n_own: int, other: str, n_other: int) -> list[Column]:
+        return [F.pmod(F.xxhash64("cls"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)]
+
+    data = ["cls", "n_words", "words", "head"]
+    a = heads.where(is_a).select(*dealt("block_a", n_a, "block_b", n_b), *data)
+    b = heads.where(~is_a).select(*dealt("block_b", n_b, "block_a", n_a), *data)
+    keys = ["block_a", "block_b"]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(_meet, "cls_a string, cls_b string")
 
 
 def overlaps(records: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

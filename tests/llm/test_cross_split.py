@@ -57,6 +57,44 @@ def test_against_brute_force_with_hot_chunks(spark, stage):
     assert pairs(spark, rows, stage) == expected
 
 
+def brute_force(rows):
+    words = {r[0]: X.words_of(r[6]) for r in rows}
+    return sorted((a[0], b[0]) for a in rows if a[1] == "train" for b in rows if b[1] == "eval" and X.same_statement(words[a[0]], words[b[0]]))
+
+
+def test_hot_group_of_edited_copies(spark, stage, monkeypatch):
+    rng = random.Random(8)
+    base = statement(rng, 115).split()
+    rows = []
+    for i in range(100):
+        words = base[:]
+        for at in rng.sample(range(115), rng.randrange(10, 24)):  # no long run of words stays whole
+            words[at] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, "train" if i < 60 else "eval", "s", "s", None, None, " ".join(words)))
+    expected = brute_force(rows)
+    assert 500 < len(expected) < 2400
+    assert pairs(spark, rows, stage) == expected
+    monkeypatch.setattr(X, "BLOCK", 16)  # several blocks of either side
+    monkeypatch.setattr(X, "COMMON", 20)
+    assert pairs(spark, rows, stage) == expected
+
+
+def test_every_fourth_word_edited_and_lengths(spark, stage):
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        n = rng.choice([8, 9, 11, 20, 50])
+        words = [rng.choice(WORDS[:30]) for _ in range(n)]
+        rows.append((i, "train", "s", "s", None, None, " ".join(words)))
+        for at in range(0, n, 4):
+            words[at] = "new"
+        words += ["more"] * rng.randrange(3)
+        rows.append((100 + i, "eval", "s", "s", None, None, " ".join(words)))
+    expected = brute_force(rows)
+    assert len(expected) > 10
+    assert pairs(spark, rows, stage) == expected
+
+
 def test_repeated_rows_make_their_own_pairs(spark, stage):
     text = statement(random.Random(1))
     rows = [(i, "train", "train", "s", "hot", "h", text) for i in range(40)] + [(100 + i, "eval", "test", "s", "hot", "h", text) for i in range(30)]
