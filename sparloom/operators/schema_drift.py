@@ -167,8 +167,9 @@ def schema_changes(store: DataFrame, runs: DataFrame, rename_share: float = 0.6,
 
 
 def _chains(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Canonical name of every field of every version of one series."""
-    name, rows = {}, []
+    """Canonical name of every field of every version of one series: of the
+    names that renames link, the one that most versions of all series have."""
+    name, rows, anew = {}, [], set()
     for _, group in pdf.sort_values(["version", "field"]).groupby("version", sort=True):
         renames = dict(zip(group["field"], group["old_field"]))
         step = {}
@@ -179,11 +180,21 @@ def _chains(pdf: pd.DataFrame) -> pd.DataFrame:
             canonical = step[field]
             if canonical in taken:  # a name freed by a rename and used anew is a field of its own
                 canonical = f"{field}__v{group['version'].iloc[0]}"
+                anew.add(canonical)
             taken[canonical] = field
             step[field] = canonical
         name.update(step)
         rows += [(group["run_id"].iloc[0], field, canonical) for field, canonical in step.items()]
-    return pd.DataFrame(rows, columns=["run_id", "field", "canonical"])
+    uses = dict(zip(pdf["field"], pdf["n_uses"]))
+    linked: dict[str, list[str]] = {}
+    for _, field, chain in rows:
+        if field not in linked.setdefault(chain, []):
+            linked[chain].append(field)
+    best: dict[str, str] = {}
+    for chain, names in sorted(linked.items(), key=lambda x: (x[0] in anew, len(x[1]))):
+        free = [n for n in names if n not in best.values()]
+        best[chain] = chain if chain in anew or not free else max(free, key=lambda n: uses[n])
+    return pd.DataFrame([(run, field, best[chain]) for run, field, chain in rows], columns=["run_id", "field", "canonical"])
 
 
 def field_routes(versions: DataFrame, changes: DataFrame) -> DataFrame:
@@ -194,15 +205,16 @@ def field_routes(versions: DataFrame, changes: DataFrame) -> DataFrame:
     renames = changes.where("change = 'renamed'").select("run_id", F.col("new_field").alias("field"), F.col("field").alias("old_field"))
     return (
         versions.select("series", "version", "run_id", "field").join(renames, ["run_id", "field"], "left")
+        .join(versions.groupBy("field").agg(F.count(F.lit(1)).alias("n_uses")), "field")
         .groupBy("series").applyInPandas(_chains, "run_id string, field string, canonical string")
     )
 
 
 def cast_text(kind: Column, value: Column) -> Column:
-    """Cast rule of a scalar column: one-element arrays and ``{"value": x}`` or
+    """Cast rule of a scalar column: arrays of one element and ``{"value": x}`` or
     ``{"name": x}`` objects are unwrapped, quotes of strings are removed."""
     unwrapped = (
-        F.when(kind == "array", F.get_json_object(value, "$[0]"))
+        F.when((kind == "array") & (F.json_array_length(value) == 1), F.get_json_object(value, "$[0]"))
         .when(kind == "object", F.coalesce(F.get_json_object(value, "$.value"), F.get_json_object(value, "$.name"), F.get_json_object(value, "$.path"), value))
         .when(kind == "string", F.get_json_object(F.concat(F.lit('{"x":'), value, F.lit("}")), "$.x"))
         .otherwise(value)
@@ -210,14 +222,37 @@ def cast_text(kind: Column, value: Column) -> Column:
     return unwrapped
 
 
+KEYS = ("run_id", "task_id", "other")
+
+
+def canonical_columns(routes: DataFrame) -> list[str]:
+    """Canonical names of all routes that can be columns beside each other: not
+    a key, and the first of those that differ by case only."""
+    names, seen = [], set(KEYS)
+    for row in routes.select("canonical").distinct().orderBy("canonical").collect():
+        if row["canonical"].lower() not in seen:
+            seen.add(row["canonical"].lower())
+            names.append(row["canonical"])
+    return names
+
+
 def unified(store: DataFrame, routes: DataFrame, columns: list[str]) -> DataFrame:
     """Every record as one row with the same columns: fields are renamed to
-    their canonical name, cast by :func:`cast_text`, absent ones are null."""
+    their canonical name, cast by :func:`cast_text`, absent ones are null.
+
+    Nothing else vanishes: ``other`` lists, by name, the fields without a column
+    (a stray field whose name is another field's column in this run is one) and,
+    as they were, the objects of which a column only holds one member.
+    """
     fields = explode_fields(store, keep_values=True).where(F.col("kind").isNotNull())
-    routed = fields.join(routes, ["run_id", "field"], "left").withColumn("canonical", F.coalesce("canonical", "field"))
-    pick = [F.max(F.when(F.col("canonical") == c, cast_text(F.col("kind"), F.col("value")))).alias(c) for c in columns]
-    return (
-        store.select("run_id", "task_id").join(
-            routed.where(F.col("canonical").isin(columns)).groupBy("run_id", "task_id").agg(*pick), ["run_id", "task_id"], "left"
-        )
+    targets = routes.select("run_id", F.col("canonical").alias("field"), F.lit(True).alias("is_target")).distinct()
+    routed = fields.join(routes, ["run_id", "field"], "left").join(targets, ["run_id", "field"], "left")
+    name = F.coalesce("canonical", F.when(F.col("is_target").isNull(), F.col("field")))
+    routed = routed.withColumn("at", F.when(name.isin(columns), name)).withColumn("text", cast_text(F.col("kind"), F.col("value")))
+    partly = (F.col("kind") == "object") & (F.size(F.json_object_keys("value")) > 1) & (F.col("text") != F.col("value"))
+    kept = F.when(partly, F.struct("field", "value")).when(F.col("at").isNull(), F.struct("field", F.coalesce("text", "value").alias("value")))
+    cells = (
+        routed.withColumn("kept", kept).groupBy("run_id", "task_id")
+        .agg(*[F.max(F.when(F.col("at") == c, F.col("text"))).alias(c) for c in columns], F.array_sort(F.collect_list("kept")).alias("other"))
     )
+    return store.select("run_id", "task_id").join(cells, ["run_id", "task_id"], "left")

@@ -7,10 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparloom.operators import schema_drift, small_files
 from sparloom.storage import staged, table
 
-UNIFIED_COLUMNS = [
-    "contract_path", "prompt_tokens", "workflow", "model", "dataset", "task_index", "code", "raw_response", "generation_seconds",
-]
-
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys of the consolidated store."""
@@ -46,11 +42,11 @@ def p3_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records in one table with consistent columns."""
+    """All records in one table with consistent columns, one for each canonical field of the runs."""
     store, runs = _drift(spark, sf_dir)
     changes = schema_drift.schema_changes(store, runs, stage=staged)
-    routes = schema_drift.field_routes(_versions(store, runs), changes)
-    return schema_drift.unified(store, routes, UNIFIED_COLUMNS)
+    routes = staged(schema_drift.field_routes(_versions(store, runs), changes), "routes")
+    return schema_drift.unified(store, routes, schema_drift.canonical_columns(routes))
 
 
 QUERIES = {

@@ -64,3 +64,31 @@ def test_unified_follows_the_chain(spark, stage):
     rows = {(r["run_id"], r["task_id"]): (r["path"], r["n"]) for r in D.unified(store, D.field_routes(versions, found), ["path", "n"]).collect()}
     assert rows[("a", "t1")] == rows[("b", "t1")] == rows[("c", "t1")] == ("p1", "1")
     assert len(D.fingerprints(versions).select("fingerprint").distinct().collect()) == 3
+
+
+def test_unified_keeps_every_field(spark, stage):
+    runs = [
+        ("a", "s", {f"t{i}": {"spec": f"p{i}", "tags": [i, 2], "unit": {"value": i, "unit": "s"}, "flag": True} for i in range(4)}),
+        ("b", "s", {f"t{i}": {"path": f"p{i}", "tags": [i], "unit": {"value": i, "unit": "s"}, "Flag": False} for i in range(4)}),
+        ("c", "s", {f"t{i}": {"path": f"p{i}", "tags": [], "unit": i} for i in range(4)}),
+        ("d", "u", {f"t{i}": {"path": f"q{i}"} for i in range(4)}),
+    ]
+    runs[1][2]["t0"] |= {"rare": "x", "spec": "stray", "run_id": 7}
+    store, table = world(spark, runs)
+    counts = store.groupBy("run_id").count().withColumnRenamed("count", "n_records")
+    versions = D.schema_versions(D.field_profile(D.explode_fields(store)), D.run_order(table, counts))
+    routes = D.field_routes(versions, D.schema_changes(store, table, stage=stage))
+    columns = D.canonical_columns(routes)
+    assert [c for c in columns if c.lower() != "flag"] == ["path", "tags", "unit"] and len(columns) == 4
+    found = D.unified(store, routes, columns).collect()
+    rows = {(r["run_id"], r["task_id"]): r.asDict(recursive=True) for r in found}
+    assert len(found) == 16
+    assert [rows[x, "t1"]["path"] for x in "abcd"] == ["p1", "p1", "p1", "q1"]  # a chain that starts with an alias
+    assert [rows[x, "t1"]["tags"] for x in "abc"] == ["[1, 2]", "1", "[]"]
+    assert [rows[x, "t1"]["unit"] for x in "abc"] == ["1", "1", "1"]
+    whole = {"field": "unit", "value": '{"unit": "s", "value": 0}'}
+    others = {x["field"]: x["value"] for x in rows["b", "t0"]["other"]}
+    assert others.items() >= {"rare": "x", "spec": "stray", "run_id": "7", "unit": whole["value"]}.items() and whole in rows["a", "t0"]["other"]
+    assert rows["d", "t0"]["other"] == []
+    held = lambda r: [v for k, v in r.items() if k.lower() == "flag"] + [x["value"] for x in r["other"] if x["field"] in ("flag", "Flag")]
+    assert "true" in held(rows["a", "t0"]) and "false" in held(rows["b", "t0"])
