@@ -148,3 +148,28 @@ def test_execution(spark):
     got = sorted(tuple(r) for r in execution.run_tests(df, allow_untrusted=True).collect())
     assert got == [("bad", 0, "syntax_error"), ("data", 0, "invalid_test_data"), ("none", 0, "missing_code"), ("ok", 0, "passed"), ("ok", 1, "passed"), ("wrong", 0, "logical_error")]
     assert execution.run_one("while True: pass", "", "", seconds=1.0) in ("timeout", "runtime_error")
+
+
+def test_execution_by_calls_and_files(spark):
+    double = "def double(n):\n    print('noise', end='')\n    return n * 2"
+    both = '{"inputs": ["2", [3]], "outputs": ["4", [6]]%s}'
+    df = spark.createDataFrame(
+        [
+            ("column", double, both % "", "double"), ("inside", double, both % ', "fn_name": "double"', None),
+            ("method", "class Solution:\n    def add(self, a: List[int], b):\n        return tuple(a) + (b,)", '{"inputs": ["[1, 2]\\n3", [[1], 2.5]], "outputs": [[1, 2, 3], "[1, 2.5000000001]"]}', "add"),
+            ("words", "def add(a, b, c): return a + b + c", '{"inputs": ["328 359 77"], "outputs": ["764"]}', "add"),
+            ("keys", "def at(d, s): return [d[1], s]", '{"inputs": [[{"1": true}, "x y"]], "outputs": [[true, "x y"]]}', "at"),
+            ("wrong", "def double(n): return n", both % "", "double"), ("absent", "x = 1", both % "", "double"),
+            ("surplus", "print(input())", '{"inputs": ["1", "2"], "outputs": ["1"]}', None),
+        ],
+        "task_id string, code string, tests string, fn_name string",
+    )
+    got = sorted(tuple(r) for r in execution.run_tests(df, allow_untrusted=True).collect())
+    assert got == [
+        ("absent", 0, "runtime_error"), ("column", 0, "passed"), ("column", 1, "passed"), ("inside", 0, "passed"), ("inside", 1, "passed"), ("keys", 0, "passed"),
+        ("method", 0, "passed"), ("method", 1, "passed"), ("surplus", 0, "invalid_test_data"), ("words", 0, "passed"), ("wrong", 0, "logical_error"),
+    ]
+    files = "n = int(open('input.txt').read())\nopen('output.txt', 'w').write(str(n + 1))"
+    assert execution.run_one(files, "4", "5") == "passed" and execution.run_one(files, "4", "6") == "logical_error"
+    assert execution.run_one("import os\nos.lseek(0, 0, 0)\nprint(input())", "7", "7") == "passed"
+    assert execution.run_one("raise ValueError", "4", "5") == "runtime_error"
