@@ -24,6 +24,7 @@ rows are judged each; a table without values gives no rows.
 from __future__ import annotations
 
 import ast
+import codeop
 import json
 import math
 import random
@@ -157,6 +158,26 @@ def _parses(code: str) -> bool:
         return False
 
 
+def _incomplete(code: str) -> bool:
+    """Whether the parser reads all of the code and then misses more of it,
+    however far back the open statement starts; a string open in the last line is left out."""
+    flags = codeop.PyCF_ALLOW_INCOMPLETE_INPUT | ast.PyCF_ONLY_AST
+    for text in (code, code.rpartition("\n")[0]):
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                compile(text, "f", "exec", flags)
+            return False
+        except SyntaxError as error:
+            if "incomplete input" in str(error.msg):
+                return True
+            if text is not code or not re.match(r"unterminated (?:f-)?string", str(error.msg)) or error.lineno != code.count("\n") + 1:
+                return False
+        except (ValueError, RecursionError, MemoryError):
+            return False
+    return False
+
+
 def unfinished_code(code: str) -> bool | None:
     """Whether Python code stops inside a statement; None if it is not Python."""
     if _parses(code):
@@ -169,10 +190,12 @@ def unfinished_code(code: str) -> bool | None:
     for drop in range(1, min(len(lines), 8) + 1):
         head = "\n".join(lines[:len(lines) - drop])
         if not _LINE_NOTE.sub("", head).strip():
-            return True if drop == len(lines) and len(lines) <= 2 and re.match(r"\s*(?:def|class|from|import|@)\b", code) and not re.search(r"[{;]\s*$", code) else None
+            if drop == len(lines) and len(lines) <= 2 and re.match(r"\s*(?:def|class|from|import|@)\b", code) and not re.search(r"[{;]\s*$", code):
+                return True
+            break
         if _parses(head) or _parses(head + "\n" + " " * (len(lines[len(lines) - drop]) - len(lines[len(lines) - drop].lstrip()) or 4) + "pass"):
             return True
-    return None
+    return True if _incomplete(code) else None
 
 
 def is_cut(text: str, model: EndModel) -> bool:

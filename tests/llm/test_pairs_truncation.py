@@ -86,3 +86,15 @@ def test_defects(spark, stage, ends, languages):
     found = dict(got)
     assert {i: found.get(i) for i in range(len(cases))} == {i: d for i, (*_, d) in enumerate(cases)}
     assert pairs.defects(records.limit(0), questions.limit(0), ends, languages, stage).count() == 0
+
+
+def test_long_statement_that_stops():
+    from sparloom.llm.truncation import unfinished_code
+
+    table = "T = {\n" + "".join(f"    'k{i}': {i},\n" for i in range(20))
+    tries = "import os\n\ndef f():\n    try:\n" + "".join(f"        g({i})\n" for i in range(20)).rstrip("\n")
+    for code in (table, table + "    'k2", tries, "x = 1\n" + table.replace("T", "x"), "s = \"\"\"\n" + "line\n" * 30):
+        assert unfinished_code(code) is True
+    for code in ("int main() {\n" + "  f();\n" * 20, "x = 1\ny = = 2\n" + "z = 1\n" * 20, "a = [1;\n" + "2;\n" * 20):
+        assert unfinished_code(code) is None
+    assert unfinished_code(table + "}\n") is False
