@@ -22,9 +22,10 @@ are equal, or their statements are equal or nearly so. Statements:
    the sides: that is the price of leaving nothing out.
 
 Defined results: ids null, ``""``, ``"None"`` or blank never match, blank or
-null hashes neither; a statement of fewer than ``MIN_WORDS`` words (null, empty,
-a placeholder) only matches by id or hash; very long statements are compared
-whole; each repeated row makes its own pair; a pair that matches in several ways
+null hashes neither; a statement without words (null, empty) or of the words of
+a placeholder (``PLACEHOLDERS``) only matches by id or hash; text of scripts
+without blanks between words has a word for each character; short statements and
+very long ones are compared as all others; each repeated row makes its own pair; a pair that matches in several ways
 is one row; with either side empty there are no pairs.
 """
 
@@ -44,11 +45,17 @@ BLOCK = 8192
 COMMON = 30_000
 DEPTH = 0.2
 MIX = 0x9E3779B97F4A7C15
-MIN_WORDS = 8
 SHARE = 0.72
 ORDER = 0.7
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|&(?:nbsp|lt|gt|amp|quot|#\d+);")
-_WORDS = re.compile(r"[^\W_]+")
+#: Scripts without blanks: Thai, Lao, Myanmar, Khmer, kana, Chinese characters.
+_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORDS = re.compile(rf"[{_SINGLE}]|[^\W_{_SINGLE}]+")
+#: Words that stand for a statement that is not there.
+PLACEHOLDERS = {
+    "removed", "statement removed", "question removed", "text removed", "content removed", "deleted", "redacted", "missing", "placeholder",
+    "none", "null", "nan", "n a", "na", "empty", "unknown", "tbd", "todo", "not available", "see original",
+}
 
 
 def words_of(text: str) -> list[str]:
@@ -120,7 +127,7 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in pdf["statement"]:
             words = words_of(text) if isinstance(text, str) else []
             joined = " ".join(words)
-            rows.append((hashlib.blake2b(joined.encode(), digest_size=16).hexdigest(), len(words), joined) if len(words) >= MIN_WORDS else (None, 0, None))
+            rows.append((hashlib.blake2b(joined.encode(), digest_size=16).hexdigest(), len(words), joined) if words and joined not in PLACEHOLDERS else (None, 0, None))
         out = pd.DataFrame(rows, columns=["cls", "n_words", "words"])
         yield pd.concat([pdf[["item_no", "side", "split", "source", "task_key", "hash_key"]].reset_index(drop=True), out], axis=1)
 

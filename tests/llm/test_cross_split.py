@@ -95,6 +95,16 @@ def test_every_fourth_word_edited_and_lengths(spark, stage):
     assert pairs(spark, rows, stage) == expected
 
 
+def test_short_statements_and_scripts_without_blanks(spark, stage):
+    chinese = "给定一个整数数组请计算其中所有偶数的和并输出结果"
+    rows = [
+        (1, "train", "s", "s", None, None, "Reverse a list."), (2, "train", "s", "s", None, None, chinese), (3, "train", "s", "s", None, None, "[statement removed]"), (4, "train", "s", "s", None, None, "..."),
+        (11, "eval", "s", "s", None, None, "reverse **a** list"), (12, "eval", "s", "s", None, None, chinese.replace("偶", "奇")), (13, "eval", "s", "s", None, None, "Statement removed"),
+        (14, "eval", "s", "s", None, None, "..."), (15, "eval", "s", "s", None, None, "Sort a list."), (16, "eval", "s", "s", None, None, chinese[::-1]),
+    ]
+    assert pairs(spark, rows, stage) == [(1, 11), (2, 12)]
+
+
 def test_repeated_rows_make_their_own_pairs(spark, stage):
     text = statement(random.Random(1))
     rows = [(i, "train", "train", "s", "hot", "h", text) for i in range(40)] + [(100 + i, "eval", "test", "s", "hot", "h", text) for i in range(30)]
