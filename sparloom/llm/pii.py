@@ -2,27 +2,34 @@
 
 1. *Candidates.* A map-only stage cuts from every text what has the shape of an
    e-mail address, a number with at least six digits, a street with house number
-   or two neighbouring capitalised words, each with its context patterns: the
-   two tokens to its left, and the token on either side. Candidates whose shape
-   or whose agreement with an address nearby leaves no doubt are *seeds*.
-2. *Pattern-instance graph.* Distinct (pattern, instance) edges are scored for
-   some rounds: a pattern is as good as the share of its instances that are
-   known, an instance is as good as its patterns together. Values that a text
-   template repeats count once, so a constant such as a shard number never
-   makes a good pattern.
-3. *Lexicon.* Parts of known names become given and family names by the share
-   of known instances among those they occur in.
-4. *Extraction.* A second pass accepts seeds, candidates in a good pattern, and
-   pairs of lexicon parts in any case; overlaps go to the surer, then longer
-   candidate. :func:`redact` puts ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``,
-   ``[ADDRESS]`` and ``[NAME]`` in their place.
-
-The graph is aggregated over all texts; nothing of it but the lexicon and the
-kept patterns, whose number is checked, is sent to all tasks.
+   or two neighbouring capitalised words, each with its place and its context
+   patterns: the two tokens to its left, and the token on either side. Candidates
+   whose shape or whose agreement with an address nearby leaves no doubt are
+   *seeds*. The rows are staged, so texts are scanned once for them.
+2. *Pattern-instance graph.* Edges (pattern, instance) with the number of their
+   documents are scored for some rounds. A pattern is as good as the share of its
+   instances that are known, or the share of its documents, whichever is lower:
+   what a text template repeats gains nothing from the many names beside it, and
+   a constant such as a shard number counts once. An instance is as good as the
+   best of its patterns; patterns cut from one context are no independent
+   witnesses.
+3. *Lexicon.* Parts of known names become given and family names, again by the
+   lower of the shares over distinct instances and over documents. A pattern
+   alone makes no name: one part must be in the lexicon, the other must not speak
+   against it.
+4. *Extraction.* Candidates are accepted as seeds or by patterns without reading
+   the text again; a light second pass finds pairs of lexicon parts in any case.
+   Overlaps go to the surer, then longer candidate. :func:`redact` puts
+   ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` and ``[NAME]`` in
+   their place.
+
+The graph is aggregated over all texts. Patterns meet the staged candidates in a
+join. The lexicon is sent to all tasks up to ``BROADCAST_ROWS`` parts; a longer
+one is joined to the words of each document, with the same result.
 
 Defined results: null, empty and blank texts hold nothing; positions count code
 points; a repeated row is a row of its own and gives the same spans; an empty
-table gives no rows. Texts of any length are processed whole.
+table gives no rows. Texts of any length are processed whole. The key is unique.
 """
 
 from __future__ import annotations
@@ -36,7 +43,8 @@ from pyspark.sql import DataFrame, functions as F
 KINDS = ["email", "phone", "id_number", "address", "name"]
 ROUNDS = 3
 GOOD_PATTERN = 0.6
-GOOD_PART = 0.5
+GOOD_PART = 0.55
+POSSIBLE_PART = 0.5
 BROADCAST_ROWS = 200_000
 
 _AT = r"(?:\s?[@＠]\s?|\s?[\[({<]\s?(?:at|arroba)\s?[\])}>]\s?|\s(?:at|AT|arroba)\s)"
@@ -203,156 +211,242 @@ def scan(text: str) -> list[tuple[str, int, int, str, str, str, str | None, str,
     return out
 
 
-CANDIDATE_SCHEMA = "class string, instance string, pattern_a string, pattern_b string, seed string, given string, family string"
+CANDIDATE_COLUMNS = ["key_", "class", "start_at", "end_at", "instance", "pattern_a", "pattern_b", "seed", "sure", "given", "family", "docs"]
+CANDIDATE_SCHEMA = (
+    "key_ long, class string, start_at long, end_at long, instance string, pattern_a string, pattern_b string, seed string, sure double, "
+    "given string, family string, docs long"
+)
+
+
+def certainty(text: str, cls: str, start: int, seed: str | None) -> float | None:
+    """Rank of a candidate that needs no pattern, null for the others."""
+    if seed and cls in ("mail", "place"):
+        return 3.0
+    if cls == "number" and (seed == "phone" or seed and labelled(text, start)):
+        return 2.5
+    return None
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["class", "instance", "pattern_a", "pattern_b", "seed", "given", "family"]
     for pdf in batches:
-        rows = {}
-        for text in pdf["text_"]:
+        rows = []
+        for key, text in zip(pdf["key_"], pdf["text_"]):
             if isinstance(text, str):
-                for c, _, _, i, a, b, s, g, f in scan(text):
-                    key = (c, i, a, b, g, f)
-                    rows[key] = rows.get(key) or s
-        yield pd.DataFrame([(c, i, a, b, s, g, f) for (c, i, a, b, g, f), s in rows.items()], columns=names)
+                seen: set[tuple[str, ...]] = set()
+                for cls, start, end, instance, a, b, seed, given, family in scan(text):
+                    edge = (cls, instance, a, b, given, family)
+                    rows.append((key, cls, start, end, instance, a, b, seed, certainty(text, cls, start, seed), given, family, int(edge not in seen)))
+                    seen.add(edge)
+        yield pd.DataFrame(rows, columns=CANDIDATE_COLUMNS)
+
 
+def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every candidate with its place, contexts and seed; ``docs`` is 1 for the first of its kind in a text."""
+    return df.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).mapInPandas(_candidates, CANDIDATE_SCHEMA)
 
-def edges(df: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct edges of the pattern-instance graph."""
-    found = df.select(F.col(text).alias("text_")).mapInPandas(_candidates, CANDIDATE_SCHEMA)
+
+def edges(found: DataFrame) -> DataFrame:
+    """Edges of the pattern-instance graph with the number of their documents."""
     return (
-        found.select("class", "instance", "seed", "given", "family", F.explode(F.array("pattern_a", "pattern_b")).alias("pattern"))
-        .groupBy("class", "instance", "given", "family", "pattern").agg(F.max("seed").alias("seed"))
+        found.groupBy("class", "instance", "given", "family", "pattern_a", "pattern_b").agg(F.max("seed").alias("seed"), F.sum("docs").alias("docs"))
+        .withColumn("pattern", F.explode(F.array("pattern_a", "pattern_b")))
+        .groupBy("class", "instance", "given", "family", "pattern").agg(F.max("seed").alias("seed"), F.sum("docs").alias("docs"))
     )
 
 
 def score(graph: DataFrame, stage: Callable[[DataFrame, str], DataFrame], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(patterns, instances) with their score for each label.
 
-    A label's known mass of an instance is 1 for a seed, else
-    ``1 - prod(1 - score of its patterns)`` over patterns with at least three
-    instances and a score of a third; a pattern's score is the known mass of its
-    instances over their number plus one.
+    A label's known mass of an instance is 1 for a seed, else the score of its
+    best pattern, among those with at least three instances and a score of 0.3.
+    A pattern's score is the known mass of its instances over their number plus
+    one, or the same with each instance counted as often as it has documents in
+    this pattern, whichever is lower.
     """
     nodes = ["class", "instance"]
     known = (
         graph.groupBy(*nodes).agg(F.max("seed").alias("seed")).where(F.col("seed").isNotNull())
         .select(*nodes, F.col("seed").alias("label"), F.lit(1.0).alias("mass"))
     )
-    support = stage(graph.groupBy("class", "pattern").agg(F.count(F.lit(1)).alias("n")), "support")
+    support = stage(graph.groupBy("class", "pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("n_docs")), "support")
     seeds = known
     for i in range(rounds):
         patterns = (
-            graph.join(known, nodes).groupBy("class", "pattern", "label").agg(F.sum("mass").alias("mass"))
+            graph.join(known, nodes).groupBy("class", "pattern", "label")
+            .agg(F.sum("mass").alias("mass"), F.sum(F.col("mass") * F.col("docs")).alias("mass_docs"))
             .join(support, ["class", "pattern"])
-            .select("class", "pattern", "label", "n", (F.col("mass") / (F.col("n") + 1)).alias("score"))
+            .select("class", "pattern", "label", "n", F.least(F.col("mass") / (F.col("n") + 1), F.col("mass_docs") / (F.col("n_docs") + 1)).alias("score"))
             .where("n >= 3 and score >= 0.3")
         )
         patterns = stage(patterns, f"patterns{i}")
         if i + 1 < rounds:
-            inferred = graph.join(patterns, ["class", "pattern"]).groupBy(*nodes, "label").agg(
-                (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("mass")
-            )
-            known = stage(
-                inferred.unionByName(seeds).groupBy(*nodes, "label").agg(F.max("mass").alias("mass")), f"known{i}"
-            )
+            inferred = graph.join(patterns, ["class", "pattern"]).groupBy(*nodes, "label").agg(F.max("score").alias("mass"))
+            known = stage(inferred.unionByName(seeds).groupBy(*nodes, "label").agg(F.max("mass").alias("mass")), f"known{i}")
     return patterns, known
 
 
 def lexicon(graph: DataFrame, known: DataFrame) -> DataFrame:
-    """part, role: given and family names.
+    """part, role, kept: given and family names.
 
-    A part is kept in a role if known instances are at least GOOD_PART of the
-    instances that hold it there, and it is known with two partners or in a seed.
+    The share of a part in a role is the known mass over the instances that hold
+    it there, or over their documents, whichever is lower. It is kept from
+    GOOD_PART on if it is known with two partners or in a seed; the others from
+    POSSIBLE_PART on may stand beside a kept one.
     """
-    people = graph.where("class = 'person'").groupBy("instance", "given", "family").agg(F.max("seed").alias("seed"))
+    people = graph.where("class = 'person'").groupBy("instance", "given", "family").agg(F.max("seed").alias("seed"), F.sum("docs").alias("docs"))
     mass = known.where("label = 'name'").select("instance", "mass")
     scored = people.join(mass, "instance", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
     roles = scored.select(
         F.explode(F.array(
             F.struct(F.col("given").alias("part"), F.lit("given").alias("role")),
             F.struct(F.col("family").alias("part"), F.lit("family").alias("role")),
-        )).alias("r"), "mass", "seed",
+        )).alias("r"), "mass", "seed", "docs",
     ).groupBy("r.part", "r.role").agg(
-        F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("n"),
+        F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("n"), F.sum(F.col("mass") * F.col("docs")).alias("mass_docs"), F.sum("docs").alias("n_docs"),
         F.count_if(F.col("mass") >= 0.7).alias("sure"), F.count("seed").alias("seeds"),
     )
-    return roles.where((F.col("mass") >= GOOD_PART * F.col("n")) & ((F.col("sure") >= 2) | (F.col("seeds") >= 1))).select("part", "role")
+    share = F.least(F.col("mass") / F.col("n"), F.col("mass_docs") / F.col("n_docs"))
+    return roles.where(share >= POSSIBLE_PART).select(
+        "part", "role", ((share >= GOOD_PART) & ((F.col("sure") >= 2) | (F.col("seeds") >= 1))).alias("kept")
+    )
 
 
 SPAN_SCHEMA = "doc_id long, kind string, start_at long, end_at long"
-
-
-def _is_family(part: str, family: set[str]) -> bool:
-    return part in family or ("-" in part and all(p in family for p in part.split("-")))
+FOUND_SCHEMA = "key_ long, start_at long, end_at long, rank double, kind string"
 
 
 def resolve(found: list[tuple[float, int, int, str]]) -> list[tuple[str, int, int]]:
     """The spans that stay where spans overlap: surer first, then longer, then earlier."""
     kept: list[tuple[int, int, str]] = []
-    for _, start, end, kind in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1])):
+    for _, start, end, kind in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
         if all(end <= s or e <= start for s, e, _ in kept):
             kept.append((start, end, kind))
     return [(kind, s, e) for s, e, kind in sorted(kept)]
 
 
-def spans(text: str, patterns: dict[tuple[str, str], tuple[str, float]], given: set[str], family: set[str]) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of a text, given the learned patterns and lexicon."""
-    found: list[tuple[float, int, int, str]] = []
-    for cls, start, end, _, a, b, seed, g, f in scan(text):
-        if cls in ("mail", "place") and seed:
-            found.append((3.0, start, end, seed))
-            continue
-        if cls == "number" and (seed == "phone" or seed and labelled(text, start)):
-            found.append((2.5, start, end, seed))
-            continue
-        best = max((p for p in (patterns.get((cls, a)), patterns.get((cls, b))) if p), key=lambda p: p[1], default=None)
-        if best and best[1] >= GOOD_PATTERN:
-            if cls != "person":
-                found.append((2.0 + best[1] / 10, start, end, best[0]))
-            elif g in given or _is_family(f, family) or seed or best[1] >= 0.85:
-                found.append((1.0 + best[1] / 10, start, end, "name"))
-    known = [(*m.span(), w) for m in _WORD.finditer(text) if (low := (w := m.group()).casefold()) in given or _is_family(low, family)]
-    for start, end, g, f in name_windows(text, known):
-        if g in given and _is_family(f, family) or f in given and _is_family(g, family):
-            found.append((1.5, start, end, "name"))
-    return resolve(found)
-
-
-def extract(df: DataFrame, patterns: DataFrame, parts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, kind, start_at, end_at of every row."""
-    spark = df.sparkSession
-    kept = patterns.where(F.col("score") >= GOOD_PATTERN).limit(BROADCAST_ROWS + 1).collect()
-    names = parts.limit(BROADCAST_ROWS + 1).collect()
-    if max(len(kept), len(names)) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} kept patterns or name parts; split the corpus by language or source")
-    table: dict[tuple[str, str], tuple[str, float]] = {}
-    for row in kept:
-        at = (row["class"], row["pattern"])
-        if at not in table or table[at][1] < row["score"]:
-            table[at] = (row["label"], row["score"])
-    model = spark.sparkContext.broadcast((
-        table, {r["part"] for r in names if r["role"] == "given"}, {r["part"] for r in names if r["role"] == "family"}
-    ))
+class Names:
+    """Given and family names; a hyphenated family name of known parts is one."""
+
+    def __init__(self, given: set[str], family: set[str]):
+        self.given, self.family = given, family
+        self.cores = [{self._core(p) for p in side} for side in (given, family)]
+
+    @staticmethod
+    def _core(part: str) -> str:
+        return max(_PIECES.findall(part), key=len, default="")
+
+    def is_family(self, part: str) -> bool:
+        return part in self.family or ("-" in part and all(p in self.family for p in part.split("-")))
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Pairs of a given and a family name in any case."""
+        pieces = set(_PIECES.findall(text.casefold()))
+        if any(pieces.isdisjoint(core) for core in self.cores):
+            return []
+        words = [(*m.span(), w) for m in _WORD.finditer(text) if (low := (w := m.group()).casefold()) in self.given or self.is_family(low)]
+        return [
+            (start, end) for start, end, g, f in name_windows(text, words)
+            if g in self.given and self.is_family(f) or f in self.given and self.is_family(g)
+        ]
 
+
+_PIECES = re.compile(r"[^\W\d_]+")
+
+
+def _pairs_shared(model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Lexicon pairs of every text, with a lexicon that all tasks hold."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = Names(*model.value)
         for pdf in batches:
-            rows = [
-                (doc, kind, start, end)
-                for doc, value in zip(pdf["key_"], pdf["text_"]) if isinstance(value, str)
-                for kind, start, end in spans(value, *model.value)
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start_at", "end_at"])
+            rows = [(key, s, e, 1.5, "name") for key, text in zip(pdf["key_"], pdf["text_"]) if isinstance(text, str) for s, e in names.spans(text)]
+            yield pd.DataFrame(rows, columns=["key_", "start_at", "end_at", "rank", "kind"])
+
+    return run
 
-    return df.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).mapInPandas(run, SPAN_SCHEMA)
+
+def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every distinct word of a text, and of a hyphenated one its pieces."""
+    for pdf in batches:
+        rows = []
+        for key, text in zip(pdf["key_"], pdf["text_"]):
+            if isinstance(text, str):
+                words = {m.group().casefold() for m in _WORD.finditer(text)}
+                rows += [(key, w) for w in words | {p for w in words if "-" in w for p in w.split("-")}]
+        yield pd.DataFrame(rows, columns=["key_", "part"])
+
+
+def _pairs_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lexicon pairs of every text, each with the parts that occur in it."""
+    for pdf in batches:
+        rows = []
+        for key, text, given, family in zip(pdf["key_"], pdf["text_"], pdf["given"], pdf["family"]):
+            rows += [(key, s, e, 1.5, "name") for s, e in Names(set(given), set(family)).spans(text)]
+        yield pd.DataFrame(rows, columns=["key_", "start_at", "end_at", "rank", "kind"])
+
+
+def lexicon_pairs(texts: DataFrame, names: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Spans of lexicon pairs in ``texts`` (key_, text_); ``names`` has part and role."""
+    held = names.limit(broadcast_rows + 1).collect()
+    if len(held) <= broadcast_rows:
+        sides = tuple({r["part"] for r in held if r["role"] == role} for role in ("given", "family"))
+        return texts.mapInPandas(_pairs_shared(texts.sparkSession.sparkContext.broadcast(sides)), FOUND_SCHEMA)
+    of_text = (
+        texts.mapInPandas(_words_of, "key_ long, part string").join(names, "part").groupBy("key_")
+        .agg(*(F.array_agg(F.when(F.col("role") == role, F.col("part"))).alias(role) for role in ("given", "family")))
+        .where((F.size("given") > 0) & (F.size("family") > 0))
+    )
+    return texts.join(of_text, "key_").mapInPandas(_pairs_joined, FOUND_SCHEMA)
+
+
+def accepted(found: DataFrame, patterns: DataFrame, parts: DataFrame) -> DataFrame:
+    """Candidates that a seed or a pattern accepts, with their rank."""
+    best = (
+        patterns.where(F.col("score") >= GOOD_PATTERN).groupBy("class", "pattern")
+        .agg(F.max(F.struct("score", "label")).alias("best"))
+    )
+    span = ["key_", "start_at", "end_at"]
+    certain = found.where("sure is not null").select(*span, F.col("sure").alias("rank"), F.col("seed").alias("kind"))
+    open_ = found.where("sure is null")
+
+    def beside(name: str) -> DataFrame:
+        return best.select("class", F.col("pattern").alias(f"pattern_{name}"), F.col("best").alias(f"best_{name}"))
+
+    met = (
+        open_.join(beside("a"), ["class", "pattern_a"], "left").join(beside("b"), ["class", "pattern_b"], "left")
+        .withColumn("best", F.greatest("best_a", "best_b")).where(F.col("best").isNotNull() | (F.col("seed") == "name"))
+    )
+    value = met.where("class <> 'person'").select(*span, (2 + F.col("best.score") / 10).alias("rank"), F.col("best.label").alias("kind"))
+
+    def role(name: str) -> DataFrame:
+        return parts.where(F.col("role") == name).select(F.col("part").alias(name), F.col("kept").alias(f"{name}_kept"))
+
+    person = (
+        met.where("class = 'person'").join(role("given"), "given").join(role("family"), "family").where("given_kept or family_kept")
+        .select(*span, (1 + F.coalesce("best.score", F.lit(GOOD_PATTERN)) / 10).alias("rank"), F.lit("name").alias("kind"))
+    )
+    return certain.unionByName(value).unionByName(person)
+
+
+def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [
+            (key, kind, start, end) for key, spans in zip(pdf["key_"], pdf["spans_"])
+            for kind, start, end in resolve([(s["rank"], s["start_at"], s["end_at"], s["kind"]) for s in spans])
+        ]
+        yield pd.DataFrame(rows, columns=["doc_id", "kind", "start_at", "end_at"])
 
 
-def learn(df: DataFrame, stage: Callable[[DataFrame, str], DataFrame], text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(patterns, lexicon) of a corpus."""
-    graph = stage(edges(df, text), "edges")
+def find(df: DataFrame, stage: Callable[[DataFrame, str], DataFrame], key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, kind, start_at, end_at of every occurrence in every row."""
+    found = stage(candidates(df, key, text), "candidates")
+    graph = stage(edges(found), "edges")
     patterns, known = score(graph, stage)
-    return patterns, stage(lexicon(graph, known), "lexicon")
+    parts = stage(lexicon(graph, known), "lexicon")
+    texts = df.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).where(F.col("text_").isNotNull())
+    pairs = lexicon_pairs(texts, parts.where("kept").select("part", "role"), broadcast_rows)
+    spans = accepted(found, patterns, parts).unionByName(pairs)
+    per_text = spans.groupBy("key_").agg(F.collect_list(F.struct("rank", "start_at", "end_at", "kind")).alias("spans_"))
+    return per_text.mapInPandas(_resolved, SPAN_SCHEMA)
 
 
 def replace_spans(text: str, found: list[tuple[str, int, int]]) -> str:
