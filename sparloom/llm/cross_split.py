@@ -6,20 +6,33 @@ are equal, or their statements are equal or nearly so. Statements:
 1. A statement becomes its words (markup and case aside). Equal word sequences
    of one side form a *class*; only classes are compared, membership is joined
    back at the end.
-2. A class becomes *tokens*, a word with the number of its occurrence, so that
-   two classes share as many tokens as their words have in common. Two near
-   classes share at least ``SHARE`` of the tokens of the longer one. Hence, with
-   all tokens in one order, the first ``n - SHARE * n + DEPTH * n`` tokens of
-   both (their *heads*) share at least ``DEPTH * n`` of the shorter one. This
-   holds in any order; tokens of few pairs of classes come first, so that heads
-   of unlike classes share little.
-3. Classes of each side are dealt into blocks of about ``BLOCK``, and each block
-   meets each block of the other side in a task of its own. There the shared
-   tokens of the heads are counted through an index; pairs with enough of them
-   are checked exactly, the order by the longest common subsequence of their
-   words. No pair that meets the rule is lost, however common its wording is;
-   no task grows with the corpus. The number of tasks does, as the product of
-   the sides: that is the price of leaving nothing out.
+2. A class is cut into *content-defined chunks*: a cut follows each word whose
+   rolling hash falls below a bound, so an edit moves no cut but its own. The
+   chunks of a statement are about three words long; of short statements two
+   words or one, and statements near a bound of length get both kinds
+   (``LEVELS``), so that any two near classes have one in common.
+3. Chunk digests of both splits are joined, and the lengths of shared chunks are
+   summed to overlap fractions. Not all of them: in one order of all chunks, rarest
+   first, a pair whose overlap fraction is at least the ``theta`` of its level
+   shares a chunk within the first chunks of both that make up ``1 - theta`` of
+   their words. Only these are exchanged, the commonest are left to the end; but
+   none is left out for being frequent. A digest with many rows is dealt over
+   blocks that meet each other once. Beside its digest a row carries a bitmap of
+   its words: two near classes differ in few words, hence in few bits, and a pair
+   that differs in more never leaves the join. Neither filter loses a pair.
+4. What is left is checked by common words (``SHARE`` of the longer one) and their
+   longest common subsequence; only there texts are fetched.
+5. Groups of edited copies are closed: a class also meets the classes linked with
+   its nearest ones and with their nearest ones (``CENTRES`` each), so that two
+   copies whose edits together leave too few chunks whole are compared as well.
+   That is some few candidates for each pair of a group, and none outside of groups.
+
+A near pair is certain to be found if both statements have at most 24 words, or if
+the chunks it shares hold ``theta`` of the words of the longer one, however frequent
+they are. Two statements apart from any
+group can be missed if edits are strewn so evenly that fewer chunks survive.
+Chunks that stand in nearly all statements and make up more than ``theta``
+of their words let every pair meet in the join, where the bitmap drops it.
 
 Defined results: ids null, ``""``, ``"None"`` or blank never match, blank or
 null hashes neither; a statement without words (null, empty) or of the words of
@@ -37,14 +50,18 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BLOCK = 8192
+BLOCK = 20_000
 COMMON = 30_000
-DEPTH = 0.2
+#: One word in so many ends a chunk, for statements of these lengths, and the overlap fraction (theta) to find.
+LEVELS = [(1, 0, 24, 0.72), (2, 17, 96, 0.12), (3, 69, 1 << 60, 0.2)]
+BITS = 512
+#: Nearest classes through which a class meets those of its group.
+CENTRES = 4
 MIX = 0x9E3779B97F4A7C15
+MASK = 0xFFFFFFFFFFFFFFFF
 SHARE = 0.72
 ORDER = 0.7
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|&(?:nbsp|lt|gt|amp|quot|#\d+);")
@@ -62,8 +79,8 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(_TAG.sub(" ", text).casefold())
 
 
-class Tokens:
-    """Tokens of word sequences as numbers; hashes of words are kept in a bounded dictionary."""
+class Chunker:
+    """Content-defined chunks and word bitmaps; hashes of words are kept in a bounded dictionary."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
@@ -76,26 +93,73 @@ class Tokens:
             got = self.known[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
         return got
 
-    def of(self, words: list[str]) -> list[int]:
-        """One signed number for each word with its occurrence."""
+    def tokens(self, words: list[str]) -> list[int]:
+        """One number for each word with its occurrence."""
         seen: dict[str, int] = {}
         out = []
         for word in words:
             seen[word] = n = seen.get(word, 0) + 1
-            value = (self._hash(word) + n * MIX) & 0xFFFFFFFFFFFFFFFF
-            out.append(value - (1 << 64) if value >> 63 else value)
+            out.append((self._hash(word) + n * MIX) & MASK)
         return out
 
+    def chunks(self, words: list[str], mean: int) -> dict[int, int]:
+        """Digest of each chunk and the number of words it covers, repeats included."""
+        if mean == 1:
+            return {signed(t): 1 for t in self.tokens(words)}
+        out: dict[int, int] = {}
+        digest, size = mean, 0
+        for word in words:
+            value = self._hash(word)
+            digest = ((digest ^ value) * MIX) & MASK
+            digest ^= digest >> 29
+            size += 1
+            if value % mean == 0:
+                key = signed(digest)
+                out[key] = out.get(key, 0) + size
+                digest, size = mean, 0
+        if size:
+            key = signed(digest)
+            out[key] = out.get(key, 0) + size
+        return out
+
+    def bitmap(self, words: list[str]) -> list[int]:
+        """``BITS`` bits in signed 64-bit numbers, one set for each word with its occurrence."""
+        bits = 0
+        for token in self.tokens(words):
+            bits |= 1 << (((token * MIX) & MASK) >> 32) % BITS
+        return [signed(bits >> at & MASK) for at in range(0, BITS, 64)]
+
 
-def head_of(tokens: list[int], ranks: dict[int, int]) -> list[int]:
-    """The first tokens, those without a rank before the others, that near classes must share some of."""
-    n = len(tokens)
-    return sorted(tokens, key=lambda t: (ranks.get(t, -1), t))[:n - math.ceil(SHARE * n) + depth_of(n)]
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
-def depth_of(n: int) -> int:
-    """Least number of head tokens shared by near classes of which the shorter one has ``n`` words."""
-    return math.ceil(DEPTH * n)
+class Order:
+    """All chunks in one order, rarest first; only the common ones are listed."""
+
+    def __init__(self, listed: list[tuple[int, int, int]]):
+        self.pairs = {digest: n_a * n_b for digest, n_a, n_b in listed}
+        self.counts = {digest: (n_a, n_b) for digest, n_a, n_b in listed if max(n_a, n_b) > BLOCK}
+
+    def prefix(self, chunks: dict[int, int], theta: float) -> list[int]:
+        """The first chunks, of which two classes with enough overlap share one."""
+        left = (1 - theta) * sum(chunks.values()) + 1e-9
+        out = []
+        for digest in sorted(chunks, key=lambda d: (self.pairs.get(d, 0), d)):
+            if left < 0:
+                break
+            out.append(digest)
+            left -= chunks[digest]
+        return out
+
+    def keys(self, digest: int, side: str, own: int) -> list[int]:
+        """Keys under which a row of a digest meets those of the other side: one, or one for each pair of blocks."""
+        counts = self.counts.get(digest)
+        if counts is None:
+            return [digest]
+        n_a, n_b = (-(-n // BLOCK) for n in counts)
+        met = [(own % n_a, j) for j in range(n_b)] if side == "train" else [(i, own % n_b) for i in range(n_a)]
+        return [signed(((digest & MASK) + (i * n_b + j) * MIX) & MASK) for i, j in met]
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -150,92 +214,116 @@ def hash_key(column: Column) -> Column:
     return F.nullif(F.lower(F.trim(column)), F.lit(""))
 
 
-def _token_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tokens = Tokens()
+SIGNED = [f"s{i}" for i in range(BITS // 64)]
+CHUNK_SCHEMA = "side string, id long, n_words int, theta double, digests array<long>, sizes array<int>, " + ", ".join(f"{c} long" for c in SIGNED)
+
+
+def class_id(cls: str) -> int:
+    """64 bits of a class; equal ones of different classes only make one more candidate."""
+    return signed(int(cls[:16], 16))
+
+
+def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    chunker = Chunker()
     for pdf in batches:
-        sides = {"train": Counter(), "eval": Counter()}
-        for side, words in zip(pdf["side"], pdf["words"]):
-            sides["train" if side == "train" else "eval"].update(tokens.of(words.split(" ")))
-        a, b = sides["train"], sides["eval"]
-        both = list(a.keys() | b.keys())
-        yield pd.DataFrame({"token": both, "n_a": [a[t] for t in both], "n_b": [b[t] for t in both]}, dtype="int64")
+        rows = []
+        for side, cls, joined in zip(pdf["side"], pdf["cls"], pdf["words"]):
+            words = joined.split(" ")
+            bits = chunker.bitmap(words)
+            for mean, least, most, theta in LEVELS:
+                if not least <= len(words) <= most:
+                    continue
+                chunks = chunker.chunks(words, mean)
+                rows.append((side, class_id(cls), len(words), theta, list(chunks), list(chunks.values()), *bits))
+        yield pd.DataFrame(rows, columns=["side", "id", "n_words", "theta", "digests", "sizes", *SIGNED])
 
 
-def common_tokens(classes: DataFrame) -> list[int]:
-    """The tokens of most pairs of classes, at most ``COMMON``, rarest first."""
-    pairs = F.col("n_a").cast("double") * F.col("n_b")
+def common_chunks(chunked: DataFrame) -> list[tuple[int, int, int]]:
+    """(digest, classes of training, of evaluation) of the chunks of most pairs, at most ``COMMON``."""
+    is_a = F.col("side") == "train"
     top = (
-        classes.select("side", "words").mapInPandas(_token_counts, "token long, n_a long, n_b long")
-        .groupBy("token").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
-        .where((F.col("n_a") > 0) & (F.col("n_b") > 0)).orderBy(pairs.desc(), "token").limit(COMMON)
+        chunked.select(is_a.alias("is_a"), F.explode("digests").alias("digest"))
+        .groupBy("digest").agg(F.count_if("is_a").alias("n_a"), F.count_if(~F.col("is_a")).alias("n_b"))
+        .where((F.col("n_a") > 0) & (F.col("n_b") > 0)).orderBy((F.col("n_a").cast("double") * F.col("n_b")).desc(), "digest").limit(COMMON)
     )
-    return [r["token"] for r in top.collect()][::-1]
+    return [(r["digest"], r["n_a"], r["n_b"]) for r in top.collect()]
 
 
-def _heads(common: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _prefixes(model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, ranks = Tokens(), {t: i for i, t in enumerate(common)}
+        order = model.value
         for pdf in batches:
-            heads = [np.array(head_of(tokens.of(w.split(" ")), ranks), dtype="int64").tobytes() for w in pdf["words"]]
-            yield pdf[["side", "cls", "n_words", "words"]].assign(head=heads)
+            keys, shown = [], []
+            for side, own, theta, digests, sizes in zip(pdf["side"], pdf["id"], pdf["theta"], pdf["digests"], pdf["sizes"]):
+                chunks = dict(zip(digests.tolist(), sizes.tolist()))
+                met = [(key, chunks[d]) for d in order.prefix(chunks, theta) for key in order.keys(d, side, own & MASK)]
+                keys.append([k for k, _ in met])
+                shown.append([n for _, n in met])
+            yield pdf[["side", "id", "n_words", *SIGNED]].assign(keys=keys, shown=shown)
 
     return run
 
 
-def _candidates(mine: pd.DataFrame, theirs: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """Row of ``mine`` and rows of ``theirs`` whose heads share enough tokens, by an index of ``theirs``."""
-    sizes = np.array([len(h) // 8 for h in theirs["head"]])
-    listed = np.frombuffer(b"".join(theirs["head"]), dtype="int64")
-    order = np.argsort(listed, kind="stable")
-    rows = np.repeat(np.arange(len(theirs)), sizes)[order]
-    keys, starts = np.unique(listed[order], return_index=True)
-    ends = np.append(starts[1:], len(rows))
-    lengths = theirs["n_words"].to_numpy()
-    depths = np.array([depth_of(n) for n in lengths])
-    for i, (n, head) in enumerate(zip(mine["n_words"], mine["head"])):
-        head = np.frombuffer(head, dtype="int64")
-        at = np.minimum(np.searchsorted(keys, head), len(keys) - 1)
-        at = at[keys[at] == head]
-        if len(at):
-            shared = np.bincount(np.concatenate([rows[starts[k]:ends[k]] for k in at]), minlength=len(theirs))
-            enough = (shared >= np.minimum(depths, depth_of(n))) & (np.minimum(lengths, n) >= SHARE * np.maximum(lengths, n))
-            yield i, np.flatnonzero(enough)
-
-
-def _meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-    found = []
-    if len(mine) and len(theirs):
-        names, read = theirs["cls"].tolist(), {}
-        for i, rows in _candidates(mine, theirs):
-            if not len(rows):
-                continue
-            cls, words = mine["cls"].iat[i], mine["words"].iat[i].split(" ")
-            counted = Counter(words)
-            for j in rows:
-                if names[j] == cls:
-                    continue
-                if j not in read:
-                    read[j] = (other := theirs["words"].iat[j].split(" ")), Counter(other)
-                other, held = read[j]
-                if near(words, other, sum(min(k, held[w]) for w, k in counted.items() if w in held)):
-                    found.append((cls, names[j]))
-    return pd.DataFrame(found, columns=["cls_a", "cls_b"], dtype=object)
+PREFIX_SCHEMA = "side string, id long, n_words int, " + ", ".join(f"{c} long" for c in SIGNED) + ", keys array<long>, shown array<int>"
+
+
+def candidates(chunked: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """id_a, id_b, shared: pairs of classes that share a first chunk and differ in few bits, with
+    the words in the first chunks they share."""
+    order = Order(common_chunks(chunked))
+    rows = stage(chunked.mapInPandas(_prefixes(chunked.sparkSession.sparkContext.broadcast(order)), PREFIX_SCHEMA), "prefixes")
+
+    def of(side: str, mark: str) -> DataFrame:
+        return rows.where(F.col("side") == side).select(
+            F.col("id").alias(f"id_{mark}"), F.col("n_words").alias(f"n_{mark}"), *[F.col(c).alias(f"{c}_{mark}") for c in SIGNED],
+            F.explode(F.arrays_zip("keys", "shown")).alias("k"),
+        ).withColumn("key", F.col("k.keys")).withColumnRenamed("k", f"k_{mark}")
+
+    longer = F.greatest("n_a", "n_b")
+    need = F.ceil(F.lit(SHARE) * longer - F.lit(1e-9))
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNED), F.lit(0))
+    a, b = of("train", "a"), of("eval", "b")
+    return (
+        a.join(b, "key").where((F.least("n_a", "n_b") >= need) & (differ <= F.col("n_a") + F.col("n_b") - 2 * need))
+        .groupBy("id_a", "id_b").agg(F.sum(F.least("k_a.shown", "k_b.shown")).alias("shared"))
+    )
+
+
+def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        kept = []
+        for cls_a, cls_b, joined_a, joined_b in zip(pdf["cls_a"], pdf["cls_b"], pdf["words_a"], pdf["words_b"]):
+            a, b = joined_a.split(" "), joined_b.split(" ")
+            common = sum((Counter(a) & Counter(b)).values())
+            if cls_a != cls_b and near(a, b, common):
+                kept.append((cls_a, cls_b, common / max(len(a), len(b))))
+        yield pd.DataFrame(kept, columns=["cls_a", "cls_b", "share"]).astype({"cls_a": object, "cls_b": object, "share": "float64"})
 
 
 def near_classes(classes: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """cls_a (train), cls_b (evaluation) of different classes with nearly the same statement."""
-    heads = stage(classes.mapInPandas(_heads(common_tokens(classes)), "side string, cls string, n_words int, words string, head binary"), "heads")
     is_a = F.col("side") == "train"
-    n_a, n_b = (max(1, -(-heads.where(c).count() // BLOCK)) for c in (is_a, ~is_a))
+    own = F.conv(F.substring("cls", 1, 16), 16, -10).cast("long")
+    texts_a = classes.where(is_a).select(own.alias("id_a"), F.col("cls").alias("cls_a"), F.col("words").alias("words_a"))
+    texts_b = classes.where(~is_a).select(own.alias("id_b"), F.col("cls").alias("cls_b"), F.col("words").alias("words_b"))
 
-    def dealt(own: str, n_own: int, other: str, n_other: int) -> list[Column]:
-        return [F.pmod(F.xxhash64("cls"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)]
+    def checked(pairs: DataFrame, keys: list[str]) -> DataFrame:
+        return pairs.join(texts_a, keys[0]).join(texts_b, keys[1]).mapInPandas(_checked, "cls_a string, cls_b string, share double")
 
-    data = ["cls", "n_words", "words", "head"]
-    a = heads.where(is_a).select(*dealt("block_a", n_a, "block_b", n_b), *data)
-    b = heads.where(~is_a).select(*dealt("block_b", n_b, "block_a", n_a), *data)
-    keys = ["block_a", "block_b"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(_meet, "cls_a string, cls_b string")
+    met = stage(candidates(stage(classes.mapInPandas(_chunked, CHUNK_SCHEMA), "chunks"), stage), "candidates")
+    linked = stage(checked(met, ["id_a", "id_b"]), "linked").select("cls_a", "cls_b", "share")
+
+    def nearest(mine: str, other: str) -> DataFrame:
+        place = F.row_number().over(W.partitionBy(mine).orderBy(F.col("share").desc(), other))
+        return linked.withColumn("place", place).where(F.col("place") <= CENTRES).select("cls_a", "cls_b")
+
+    beside = nearest("cls_b", "cls_a").withColumnRenamed("cls_a", "via")
+    met_again = nearest("cls_a", "cls_b").join(beside, "cls_b").where("cls_a <> via").select("cls_a", "via").distinct()
+    more = (
+        met_again.join(linked.select(F.col("cls_a").alias("via"), "cls_b"), "via").select("cls_a", "cls_b").distinct()
+        .join(linked.select("cls_a", "cls_b"), ["cls_a", "cls_b"], "left_anti")
+    )
+    return linked.select("cls_a", "cls_b").unionByName(checked(more, ["cls_a", "cls_b"]).select("cls_a", "cls_b"))
 
 
 def overlaps(records: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -1,5 +1,8 @@
+import hashlib
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sparloom.llm import cross_split as X
@@ -95,6 +98,38 @@ def test_every_fourth_word_edited_and_lengths(spark, stage):
     assert pairs(spark, rows, stage) == expected
 
 
+@pytest.mark.parametrize("k", [8, 9, 20])
+def test_variants_of_one_short_statement_all_meet(spark, stage, k):
+    rows = [(i + (0 if i < k else 1000), "train" if i < k else "eval", "s", "s", None, None, f"print the sum of all even numbers below v{i}") for i in range(2 * k)]
+    assert len(pairs(spark, rows, stage)) == k * k
+
+
+def test_recall_on_random_clusters(spark, stage):
+    """Clusters of 8 to 60 words, many of them alike in their words, against brute force."""
+    rng = random.Random(17)
+    rows = []
+    for c in range(60):
+        base = [rng.choice(WORDS[:120]) for _ in range(rng.randrange(8, 61))]
+        for i in range(8):
+            words = base[:]
+            for _ in range(rng.randrange(0, max(1, len(words) // 5) + 1)):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            rows.append((c * 8 + i + (0 if i < 4 else 10_000), "train" if i < 4 else "eval", "s", "s", None, None, " ".join(words)))
+    expected, got = set(brute_force(rows)), set(pairs(spark, rows, stage))
+    assert got <= expected and len(expected) > 700
+    assert len(got) / len(expected) > 0.99
+
+
+@pytest.mark.parametrize("n", [200, 800])
+def test_a_common_preamble_makes_few_candidates(spark, stage, n):
+    rng = random.Random(n)
+    preamble = " ".join(WORDS[:30])
+    rows = [(i, "train" if i % 2 else "eval", preamble + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(40)), 70) for i in range(n)]
+    classes = spark.createDataFrame([(s, hashlib.md5(w.encode()).hexdigest(), k, w) for _, s, w, k in rows], "side string, cls string, n_words int, words string")
+    chunked = stage(classes.mapInPandas(X._chunked, X.CHUNK_SCHEMA), "chunks")
+    assert X.candidates(chunked, stage).count() <= 2 * n
+
+
 def test_short_statements_and_scripts_without_blanks(spark, stage):
     chinese = "给定一个整数数组请计算其中所有偶数的和并输出结果"
     rows = [
