@@ -63,3 +63,31 @@ def test_toml_agrees(text):
     except ValueError:
         ok = False
     assert S.valid("toml", text, S.scan("toml", text, "N")) == ok
+
+
+PY_PARTS = [
+    "x = 1\n", "def f(a):\n    return a\n", "@dec(\n  1)\n", "@dec\n", "# note (\n", "\n", "if x:\n    pass\n", "else:\n    pass\n", "s = '''a\nb ( '''\n", 's = f"""{x:{y}} {{ {d[\'k\']} \n{(1,\n2)}"""\n',
+    "f'{x!r:>{w}} \\N{BULLET} {\"q\" if a else {1: 2}[1]}'\n", "rf'\\{x}'\n", "y = 1 + \\\n", "2\n", "z = [\n1,\n", "]\n", "'abc\\\ndef'\n", "f'{a\n}'\n", "print 'x'\n", "  indented\n", "try:\n    x\nexcept E:\n    pass\n", "class A:\n    '''doc'''\n",
+    "match x:\n    case 1:\n        pass\n", "b'(' rb\"[\"\n", "é = 'ü'\n", "x = '\n", "lambda: (yield)\n", "f'{x:%H:%M}'\n", "f'{lambda x: 1}'\n", "async def g():\n    await h()\n", "<<<<<<< a\n", "\t\tx\n", "f'{{}}' '}'\n", "f'}'\n",
+]
+JSON_PARTS = ['{', '}', '[', ']', ',', ':', '"a"', '"b\\",["', "1", "null", " ", "\n", '"k": [1, 2]', '{"x": {"y": "],"}}', "tru", '[1, [2, 3], {}]', '"a":', ", "]
+TOML_PARTS = ["a = 1\n", "b = 'x'\n", "[t]\n", "[t.u]\n", "[[v]]\n", "c = [\n1,\n2]\n", 'd = """x\n[y]\n"""""\n', "e = {f = 1}\n", "a.g = 2\n", "[e]\n", "# c [\n", "h = 1979-05-27\n", "i = '''a'b''''\n", "j = \n", "k = \"\\u00e9\"\n", "[v]\n", '"q r" = 1\n', "[[t]]\n", "c.x = 1\n"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from(["python", "json", "jsonl", "toml"]), st.data(), st.integers(1, 40))
+def test_statement_groups_agree_with_the_whole(language, data, size):
+    parts = {"python": PY_PARTS, "toml": TOML_PARTS}.get(language, JSON_PARTS)
+    text = "".join(data.draw(st.lists(st.sampled_from(parts), max_size=9)))
+    if language == "json":
+        text = data.draw(st.sampled_from(["[{}]", "{{{}}}", "{}"])).format(text)
+    assert S.valid(language, text, None, size) == S.parses(language, text), text
+
+
+def test_the_reduction_decides(monkeypatch):
+    files = ["x = '''\n" + "y = 1\n" * 80, "z = [\n" + "1,\n" * 200, "def f():\n    return 1\n\n" * 40 + "w = )\n"]
+    asked = []
+    monkeypatch.setitem(S.GRAMMARS, "python", asked.append)
+    assert [S.valid("python", f) for f in files] == [False] * 3 and asked == []
+    text = "def f():\n    return '''\nx = 1\n'''\n\n" * 60
+    assert S.valid("python", text) and len(asked) > 3 and "".join(asked) == text and max(map(len, asked)) < 600
