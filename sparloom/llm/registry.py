@@ -16,7 +16,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "code_record").select("record_id", "task_id", "raw_response", "code")
     answers = records.select("record_id", F.coalesce("raw_response", "code").alias("answer"))
-    ends = truncation.fit(truncation.sample_texts(answers, "record_id", "answer"))
+    ends = truncation.learn(staged(truncation.features(answers, "", "record_id", "answer"), "ends"))
     languages = langid.fit_from(table(spark, sf_dir, "documents"))
     return pairs.defects(records, _questions(spark, sf_dir), ends, languages, staged)
 
@@ -38,7 +38,7 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.scored_tables({
         name: table(spark, sf_dir, name).select("record_id", "model", "raw_response") for name in ("code_record", "contract_record")
-    })
+    }, staged)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

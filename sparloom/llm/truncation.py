@@ -1,24 +1,28 @@
 """Text values that break off before their end.
 
 A *backward character n-gram model* compares two explanations of a value's final
-context: that whole texts end so, and that a text was cut there. The context is
-read backwards from the end, longest first, and carries the state the text is
-in at that point (inside a code fence, a think tag, open brackets; prose, code
-or JSON). Its log-odds are held against a threshold for each column and form.
-The model is fitted on a bounded sample of rows per column (``FIT_ROWS`` rows in
-order of a hash of their key, a documented parameter): ends of the sampled texts
-against random inner positions of the same texts. Rows the first fit calls cut
-are taken out of the ends before the second fit, so that flags, which are wrong
-here, are not needed as labels. Every row of the tables is scored.
-
-An exact check may overrule the model: a value that is complete JSON, or ends
-with a closed fence, is whole; a value that ends in an open fence or think tag,
-inside JSON brackets, with a replacement character or an ellipsis, is cut; code
-that does not parse up to its end is cut.
+context: that whole texts end so, and that a text was cut there. Read backwards,
+the context starts with the state the text is in at its end (inside a code fence,
+a think tag, brackets or a statement; prose, code or JSON) and goes on with its
+last characters. Each longer context is drawn to the shorter one by ``PULL``
+examples; contexts seen less than ``MIN_COUNT`` times are not used. The log-odds
+are held against a threshold for each language and column.
+
+*Fit.* One map-only pass takes the end of every value and one random inner
+position of it; both are counted over all rows in a distributed aggregation, and
+the ``MODEL_ROWS`` most frequent contexts are kept. Flags, which are wrong here,
+are not used as labels: values whose end is in a state that cuts are mostly in
+are left out of the ends of the second count, unless their last characters are an
+ending that recurs. Thresholds are those of least error over all ends and cuts of
+a language and column, each end judged without its own count.
+
+An exact check follows: an end in a replacement character, an ellipsis, a lone
+backslash or half a fence is cut.
 
 Defined results: null, empty and blank values are no cases; a value that merely
 does not parse but is complete is whole; trailing blanks do not matter; repeated
-rows are judged each; a table without values gives no rows.
+rows are judged each; a state never seen is judged by what is open in it; a table
+without values gives no rows.
 """
 
 from __future__ import annotations
@@ -30,17 +34,27 @@ import math
 import random
 import re
 import warnings
-from collections.abc import Iterable, Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-FIT_ROWS = 4000
-CUTS_PER_TEXT = 24
-ORDERS = (12, 9, 7, 5, 4, 3, 2, 1)
+ORDERS = (1, 2, 3, 4, 5, 7, 9, 12)
 MIN_COUNT = 5
-#: Log-odds below which a value counts as cut, for each form of its final part.
-THRESHOLDS = {"prose": -6.0, "open prose": 3.0, "number": -0.5, "code": -1.5, "json": -6.0}
+PULL = 5.0
+MODEL_ROWS = 200_000
+#: An ending of so many last characters that recurs in so many values is one, whatever its state.
+RECURRING = (12, 9)
+RECURS = 8
+CUT_COST = 3
+GRID = [x / 4 for x in range(-8, 9)]
+#: Function words that tell natural languages apart.
+FUNCTION_WORDS = {
+    "en": {"the", "is", "of", "to", "and", "a", "in", "for", "not", "i"}, "de": {"der", "die", "das", "und", "ist", "nicht", "ein", "zu", "mit", "ich"},
+    "fr": {"le", "la", "les", "et", "est", "de", "des", "une", "pas", "je"}, "es": {"el", "los", "las", "y", "es", "de", "una", "no", "que", "se"},
+}
 _OPEN = ",-–('’<=+/&_"
 CODE_START = re.compile(r"(?:#[^\n]*\n\s*)*(?:from \w|import \w|def \w|class \w|@\w|if __name__|async def|#include|package \w|func \w|fn \w|function \w|public |using |#!|let |const )")
 #: A paragraph of words: a capital, then three more words without code signs.
@@ -86,60 +100,143 @@ def final_part(text: str) -> tuple[str, str, str]:
     return form, f"{fence}{int(think)}{int(depth > 0)}", part
 
 
-def contexts(form: str, state: str, text: str) -> list[str]:
-    """Context keys of an end, longest first."""
-    tail = _DIGITS.sub("9", text[-ORDERS[0]:])
-    return [f"{form}{state}|{tail[-n:]}" for n in ORDERS] + [f"{form}{state}|"]
+_LETTERS = re.compile(r"[^\W\d_]+")
+_TELLS = {word: [lang for lang, words in FUNCTION_WORDS.items() if word in words] for words in FUNCTION_WORDS.values() for word in words}
+
+
+def language_of(prose: str) -> str:
+    """The natural language with most function words, ``none`` without any."""
+    found = Counter(lang for word in _LETTERS.findall(prose.casefold()) for lang in _TELLS.get(word, ()))
+    return max(FUNCTION_WORDS, key=lambda lang: found[lang]) if found else "none"
+
+
+def end_features(text: str) -> tuple[str, str, str]:
+    """(language, state, last characters) of the end of a text without trailing blanks."""
+    form, state, part = final_part(text)
+    last = part.rstrip()[-1:]
+    if form == "closed":
+        language, seen = "closed", "o" if "1" in state and re.search(r"\w", text.rsplit("```", 1)[0].rsplit("<think>", 1)[0]) else "s"
+    elif form == "json":
+        language, seen = "json", "o"
+        if last and last in "}]":
+            try:
+                json.loads(part)
+                state, seen = state[:2] + "0", "s"
+            except ValueError:
+                seen = "b"
+    elif form == "code":
+        unfinished = unfinished_code(part.strip("\n"))
+        language = "code" if unfinished is None else "python"
+        seen = "o" if unfinished or unfinished is None and last not in "};)" else "s"
+    else:
+        language, seen = language_of(part), "n" if last.isdigit() else "o" if last.isalnum() or last in _OPEN else "s"
+    return language, f"{form}{state}{seen}", _DIGITS.sub("9", text[-max(ORDERS):])
+
+
+def random_cut(text: str) -> str:
+    """The text up to an inner position that depends on the text only."""
+    return text[:random.Random(zlib.crc32(text.encode("utf-8", "replace"))).randrange(1, len(text))].rstrip(_INVISIBLE)
+
+
+def root_of(state: str) -> str:
+    """What is open in a state, the shortest context of all."""
+    return "open" if "1" in state or state[-1] == "o" else "number" if state[-1] == "n" else "shut"
+
+
+def contexts(state: str, tail: str, orders: Iterable[int] = ORDERS) -> list[str]:
+    """Context keys of an end, shortest first."""
+    return [root_of(state), state, *[f"{state}|{tail[-n:]}" for n in orders]]
 
 
 class EndModel:
-    """Counts of contexts at ends and at cuts; odds are taken within a state."""
-
-    def __init__(self, counts: dict[str, tuple[float, float]], ends: int, cuts: int):
-        self.counts, self.ends, self.cuts = counts, max(1, ends), max(1, cuts)
-
-    def log_odds(self, form: str, state: str, text: str) -> float:
-        keys = contexts(form, state, text)
-        base = self.counts.get(keys[-1], (self.ends, self.cuts))
-        for key in keys:
-            got = self.counts.get(key)
-            if got and got[0] + got[1] >= MIN_COUNT:
-                return math.log((got[0] + 0.2) / (base[0] + 1)) - math.log((got[1] + 0.2) / (base[1] + 1))
-        return 0.0
-
-    @classmethod
-    def fit(cls, ends: Iterable[tuple[str, str, str]], cuts: Iterable[tuple[str, str, str]]) -> EndModel:
-        counts: dict[str, list[float]] = {}
-        totals = [0, 0]
-        for side, examples in ((0, ends), (1, cuts)):
-            for form, state, text in examples:
-                totals[side] += 1
-                for key in contexts(form, state, text):
-                    counts.setdefault(key, [0.0, 0.0])[side] += 1
-        return cls({k: (a, b) for k, (a, b) in counts.items() if a + b >= MIN_COUNT}, *totals)
-
-
-def fit(texts: list[str], seed: int = 7) -> EndModel:
-    """Two rounds of fitting on the texts of one column."""
-    rng = random.Random(seed)
-    cuts, ends = [], []
+    """Counts of contexts at ends and at cuts, the recurring endings, and thresholds."""
+
+    def __init__(self, first: dict[str, tuple[int, int]]):
+        self.first = self.counts = first
+        self.weight = self._weight(first)
+        self.first_weight = self.weight
+        self.thresholds: dict[tuple[str, str], float] = {}
+
+    @staticmethod
+    def _weight(counts: dict[str, tuple[int, int]]) -> float:
+        roots = [counts.get(r, (0, 0)) for r in ("open", "number", "shut")]
+        return (sum(c for _, c in roots) + 1) / (sum(e for e, _ in roots) + 1)
+
+    def refit(self, counts: dict[str, tuple[int, int]]) -> None:
+        self.counts, self.weight = counts, self._weight(counts)
+
+    def _share(self, counts: dict[str, tuple[int, int]], weight: float, state: str, own: int) -> float:
+        share = 0.5
+        for key, pull in ((root_of(state), 1.0), (state, PULL)):
+            ends, cuts = counts.get(key, (0, 0))
+            ends = max(0, ends - own) * weight
+            share = (ends + pull * share) / (ends + cuts + pull)
+        return share
+
+    def kept(self, state: str, tail: str) -> bool:
+        """Whether an end counts as one, by the first counts."""
+        if self._share(self.first, self.first_weight, state, 1) > 0.378:
+            return True
+        for n in RECURRING:
+            ends, cuts = self.first.get(f"{state}|{tail[-n:]}", (0, 0))
+            if ends > RECURS and ends * self.first_weight > 4 * cuts:
+                return True
+        return False
+
+    def log_odds(self, state: str, tail: str, own: int = 0) -> float:
+        share = self._share(self.counts, self.weight, state, own)
+        for n in ORDERS:
+            ends, cuts = self.counts.get(f"{state}|{tail[-n:]}", (0, 0))
+            ends -= own
+            if ends + cuts < MIN_COUNT:
+                break
+            share = (ends * self.weight + PULL * share) / (ends * self.weight + cuts + PULL)
+        share = min(max(share, 1e-6), 1 - 1e-6)
+        return math.log(share / (1 - share))
+
+    def end_odds(self, state: str, tail: str) -> float:
+        """Log-odds of a row that may have been counted itself."""
+        return self.log_odds(state, tail, int(self.kept(state, tail)))
+
+    def calibrate(self, examples: Iterable[tuple[str, str, bool, float, int]]) -> None:
+        """Thresholds of least error from (column, language, is an end, log-odds in quarters, number)."""
+        held: dict[tuple[str, str], list[tuple[bool, float, int]]] = {}
+        for tab, language, is_end, odds, n in examples:
+            held.setdefault((tab, language), []).append((is_end, odds, n))
+        for at, found in held.items():
+            self.thresholds[at] = min(
+                GRID, key=lambda t: (sum(n * (CUT_COST if is_end else 1) for is_end, odds, n in found if (odds < t) == is_end), abs(t))
+            )
+
+    def is_cut(self, tab: str, language: str, state: str, tail: str) -> bool:
+        return self.end_odds(state, tail) < self.thresholds.get((tab, language), 0.0)
+
+
+def quarter(odds: float) -> float:
+    return math.floor(odds * 4) / 4
+
+
+def fit(texts: Iterable[str], tab: str = "") -> EndModel:
+    """The same fit for texts that are at hand."""
+    ends, cuts = [], []
     for text in texts:
         text = text.rstrip(_INVISIBLE)
-        if len(text) < 2:
-            continue
-        ends.append((final_part(text), text))
-        inside = re.findall(r"```[^\n]*\n(.*?)\n?```", text, re.S)
-        ends += [(("code", "000"), body) for body in inside if CODE_START.match(body)]
-        for _ in range(CUTS_PER_TEXT):
-            piece = text[:rng.randrange(1, len(text))].rstrip(_INVISIBLE)
+        if len(text) > 1:
+            ends.append(end_features(text))
+            piece = random_cut(text)
             if piece:
-                form, state, _ = final_part(piece)
-                cuts.append((form, state, piece))
-                if form == "code" and state[0] == "1":  # the same code without its fence
-                    cuts.append((form, "00" + state[2], piece))
-    model = EndModel.fit(((f[0], f[1], t) for f, t in ends), cuts)
-    kept = [(f[0], f[1], t) for f, t in ends if model.log_odds(f[0], f[1], t) > -1.0]
-    return EndModel.fit(kept, cuts)
+                cuts.append(end_features(piece))
+
+    def count(kept: list[tuple[str, str, str]], orders: Iterable[int]) -> dict[str, tuple[int, int]]:
+        e = Counter(key for _, s, t in kept for key in contexts(s, t, orders))
+        c = Counter(key for _, s, t in cuts for key in contexts(s, t, orders))
+        return {key: (e[key], c[key]) for key in e.keys() | c.keys()}
+
+    model = EndModel(count(ends, RECURRING))
+    kept = [x for x in ends if model.kept(*x[1:])]
+    model.refit(count(kept, ORDERS))
+    model.calibrate([(tab, lang, True, quarter(model.end_odds(s, t)), 1) for lang, s, t in kept] + [(tab, lang, False, quarter(model.log_odds(s, t)), 1) for lang, s, t in cuts])
+    return model
 
 
 _HALF_FENCE = re.compile(r"\n`{1,2}$")
@@ -148,43 +245,34 @@ _NAME_END = re.compile(r"(?<![\w.])([A-Za-z_]\w*)$")
 _KNOWN = {"None", "True", "False", "self", "pass", "break", "continue"}
 
 
-def _parses(code: str) -> bool:
+def _attempt(code: str) -> str:
+    """whole, open (the parser reads all of it and then misses more) or faulty."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            compile(code, "f", "exec", ast.PyCF_ONLY_AST)
-        return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
+            compile(code, "f", "exec", codeop.PyCF_ALLOW_INCOMPLETE_INPUT | ast.PyCF_ONLY_AST)
+        return "whole"
+    except SyntaxError as error:
+        message = str(error.msg)
+        if "incomplete input" in message:
+            return "open"
+        return "string" if re.match(r"unterminated (?:f-)?string", message) and error.lineno == code.count("\n") + 1 else "faulty"
+    except (ValueError, RecursionError, MemoryError):
+        return "faulty"
 
 
-def _incomplete(code: str) -> bool:
-    """Whether the parser reads all of the code and then misses more of it,
-    however far back the open statement starts; a string open in the last line is left out."""
-    flags = codeop.PyCF_ALLOW_INCOMPLETE_INPUT | ast.PyCF_ONLY_AST
-    for text in (code, code.rpartition("\n")[0]):
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                compile(text, "f", "exec", flags)
-            return False
-        except SyntaxError as error:
-            if "incomplete input" in str(error.msg):
-                return True
-            if text is not code or not re.match(r"unterminated (?:f-)?string", str(error.msg)) or error.lineno != code.count("\n") + 1:
-                return False
-        except (ValueError, RecursionError, MemoryError):
-            return False
-    return False
+def _parses(code: str) -> bool:
+    return _attempt(code) == "whole"
 
 
 def unfinished_code(code: str) -> bool | None:
     """Whether Python code stops inside a statement; None if it is not Python."""
-    if _parses(code):
+    first = _attempt(code)
+    if first == "whole":
         last = _NAME_END.search(code)
-        if last and last[1] not in _KNOWN and len(re.findall(rf"\b{last[1]}\b", code)) == 1:
-            return True
-        return False
+        return bool(last and last[1] not in _KNOWN and len(re.findall(rf"\b{last[1]}\b", code)) == 1)
+    if first == "open":
+        return True
     # Python up to the statement in which it stops
     lines = code.split("\n")
     for drop in range(1, min(len(lines), 8) + 1):
@@ -195,68 +283,102 @@ def unfinished_code(code: str) -> bool | None:
             break
         if _parses(head) or _parses(head + "\n" + " " * (len(lines[len(lines) - drop]) - len(lines[len(lines) - drop].lstrip()) or 4) + "pass"):
             return True
-    return True if _incomplete(code) else None
+    # a string open in the last line, in a statement that began anywhere before
+    return True if first == "string" and _attempt(code.rpartition("\n")[0]) == "open" else None
+
 
+def broken_mark(text: str) -> bool:
+    """Whether a text without trailing blanks ends in a sign of a break."""
+    return text[-1] in "�…\\" or text.endswith("...") or _HALF_FENCE.search(text) is not None
 
-def is_cut(text: str, model: EndModel) -> bool:
+
+def is_cut(text: str, model: EndModel, tab: str = "") -> bool:
     """Whether a value breaks off before its end."""
     text = text.rstrip(_INVISIBLE)
-    if not text:
-        return False
-    if text[-1] in "�…\\" or text.endswith("...") or _HALF_FENCE.search(text):
-        return True
-    form, state, part = final_part(text)
-    if form == "closed":
-        return (state[1] == "1" or state[0] == "1") and re.search(r"\w", text.rsplit("```", 1)[0].rsplit("<think>", 1)[0]) is not None
-    odds = model.log_odds(form, state, text)
-    if state[0] == "1" or state[1] == "1":
-        return True
-    if form == "json":
-        if part.rstrip()[-1:] in "}]":
-            try:
-                json.loads(part)
-                return False
-            except ValueError:
-                return state[2] == "1" or odds < THRESHOLDS["json"]
-        return True
-    if form == "code":
-        unfinished = unfinished_code(part.strip("\n"))
-        if unfinished is None:  # another language: brackets decide
-            return state[2] == "1" or part.rstrip()[-1:] not in "};)"
-        return unfinished or odds < THRESHOLDS["code"]
-    last = part.rstrip()[-1:]
-    return odds < THRESHOLDS["number" if last.isdigit() else "open prose" if last.isalnum() or last in _OPEN else "prose"]
+    return bool(text) and (broken_mark(text) or model.is_cut(tab, *end_features(text)))
 
 
-def sample_texts(df: DataFrame, key: str, text: str, rows: int = FIT_ROWS) -> list[str]:
-    """At most ``rows`` values of a column, in order of a hash of their key."""
-    picked = df.where(F.col(text).isNotNull()).orderBy(F.xxhash64(key)).limit(rows).select(text)
-    return [r[0] for r in picked.collect()]
+FEATURES = ["language", "state", "tail", "mark", "cut_language", "cut_state", "cut_tail"]
+FEATURE_SCHEMA = "tab string, key_ long, group_ string, language string, state string, tail string, mark boolean, cut_language string, cut_state string, cut_tail string"
 
 
-def score_column(df: DataFrame, model: EndModel, key: str, text: str, group: str) -> DataFrame:
-    """key_, group_, cut_ of every row with a value that is not blank (map-only)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for text in pdf["text_"]:
+            text = text.rstrip(_INVISIBLE)
+            if not text:
+                rows.append((None, None, None, False, None, None, None))
+                continue
+            piece = random_cut(text) if len(text) > 1 else ""
+            rows.append((*end_features(text), broken_mark(text), *(end_features(piece) if piece else (None, None, None))))
+        yield pd.concat([pdf[["tab", "key_", "group_"]].reset_index(drop=True), pd.DataFrame(rows, columns=FEATURES).astype({"mark": bool})], axis=1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for pdf in batches:
-            yield pdf[["key_", "group_"]].assign(cut_=[is_cut(t, own) for t in pdf["text_"]])
 
-    picked = df.select(F.col(key).cast("long").alias("key_"), F.col(group).cast("string").alias("group_"), F.col(text).alias("text_"))
-    return picked.where(F.col("text_").rlike(r"\S")).mapInPandas(run, "key_ long, group_ string, cut_ boolean")
+def features(df: DataFrame, tab: str, key: str, text: str, group: str | None = None) -> DataFrame:
+    """The end of every value that is not blank, and of a random cut of it (map-only)."""
+    shown = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    picked = df.select(F.lit(tab).alias("tab"), F.col(key).cast("long").alias("key_"), shown.alias("group_"), F.col(text).alias("text_"))
+    return picked.where(F.col("text_").rlike(r"\S")).mapInPandas(_features, FEATURE_SCHEMA)
 
 
-def scored_tables(tables: dict[str, DataFrame], key: str = "record_id", text: str = "raw_response", group: str = "model") -> DataFrame:
-    """tab, key_, group_, cut_ of several tables, with a model for each column."""
-    parts = [
-        score_column(df, fit(sample_texts(df, key, text)), key, text, group).select(F.lit(name).alias("tab"), "key_", "group_", "cut_")
-        for name, df in tables.items()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _counted(rows: DataFrame, is_end: Column, orders: Iterable[int]) -> dict[str, tuple[int, int]]:
+    """Contexts at ends and cuts over all rows, the most frequent ones."""
+    def keys(state: str, tail: str) -> Column:
+        at = F.col(state)
+        root = F.when(F.contains(at, F.lit("1")) | at.endswith("o"), "open").when(at.endswith("n"), "number").otherwise("shut")
+        return F.explode(F.array(root, at, *[F.concat(at, F.lit("|"), F.right(F.col(tail), F.lit(n))) for n in orders])).alias("key")
+
+    ends = rows.where(is_end).select(keys("state", "tail"), F.lit(1).alias("e"), F.lit(0).alias("c"))
+    cuts = rows.where("cut_state is not null").select(keys("cut_state", "cut_tail"), F.lit(0).alias("e"), F.lit(1).alias("c"))
+    counted = (
+        ends.unionByName(cuts).groupBy("key").agg(F.sum("e").alias("e"), F.sum("c").alias("c"))
+        .where((F.col("e") + F.col("c") >= MIN_COUNT) | ~F.contains("key", F.lit("|"))).orderBy((F.col("e") + F.col("c")).desc(), "key").limit(MODEL_ROWS)
+    )
+    return {r["key"]: (r["e"], r["c"]) for r in counted.collect()}
+
+
+def _shared(model: EndModel, rows: DataFrame, returns: str, of: Callable) -> Callable[..., Column]:
+    """A column function over the features, with the model sent to all tasks."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(returns)
+    def run(tab: pd.Series, language: pd.Series, state: pd.Series, tail: pd.Series) -> pd.Series:
+        own = held.value
+        return pd.Series([of(own, *x) for x in zip(tab, language, state, tail)])
+
+    return run
+
+
+def learn(rows: DataFrame) -> EndModel:
+    """The model from staged features of all columns; only counts leave the executors."""
+    whole = F.col("state").isNotNull()
+    model = EndModel(_counted(rows, whole, RECURRING))
+    is_kept = _shared(model, rows, "boolean", lambda m, _, __, s, t: m.kept(s, t))("tab", "language", "state", "tail")
+    model.refit(_counted(rows.where(whole).withColumn("kept_", is_kept), F.col("kept_"), ORDERS))
+    kept_odds = _shared(model, rows, "double", lambda m, _, __, s, t: quarter(m.log_odds(s, t, 1)) if m.kept(s, t) else None)
+    cut_odds = _shared(model, rows, "double", lambda m, _, __, s, t: quarter(m.log_odds(s, t)))
+    ends = rows.where(whole).select("tab", "language", F.lit(True).alias("is_end"), kept_odds("tab", "language", "state", "tail").alias("odds")).where("odds is not null")
+    cuts = rows.where("cut_state is not null").select("tab", F.col("cut_language").alias("language"), F.lit(False).alias("is_end"), cut_odds("tab", "cut_language", "cut_state", "cut_tail").alias("odds"))
+    bins = ends.unionByName(cuts).groupBy("tab", "language", "is_end", "odds").agg(F.count(F.lit(1)).alias("n"))
+    model.calibrate([tuple(r) for r in bins.select("tab", "language", "is_end", "odds", "n").collect()])
+    return model
+
+
+def judged(rows: DataFrame, model: EndModel) -> DataFrame:
+    """tab, key_, group_, cut_ of staged features."""
+    cut = _shared(model, rows, "boolean", lambda m, *x: m.is_cut(*x))
+    return rows.where("state is not null").select("tab", "key_", "group_", (F.col("mark") | cut("tab", "language", "state", "tail")).alias("cut_"))
+
+
+def scored_tables(tables: dict[str, DataFrame], stage: Callable[[DataFrame, str], DataFrame], key: str = "record_id", text: str = "raw_response", group: str = "model") -> DataFrame:
+    """tab, key_, group_, cut_ of several tables: one model, thresholds for each column and language."""
+    out = None
+    for name, df in tables.items():
+        part = features(df, name, key, text, group)
+        out = part if out is None else out.unionByName(part)
+    rows = stage(out, "ends")
+    return judged(rows, learn(rows))
 
 
 def rates(scored: DataFrame) -> DataFrame:

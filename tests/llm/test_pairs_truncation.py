@@ -49,10 +49,10 @@ def test_cut_cases(ends):
         assert T.is_cut(text, ends), text
 
 
-def test_rates_and_empty_table(spark):
+def test_rates_and_empty_table(spark, stage):
     rows = [(i, "m" if i % 2 else None, t) for i, t in enumerate(answers(60))] + [(100, "m", None), (101, "m", " "), (102, "m", CODE[:-8]), (102, "m", CODE[:-8])]
     df = spark.createDataFrame(rows, "record_id long, model string, raw_response string")
-    scored = T.scored_tables({"a": df, "b": df.limit(0)})
+    scored = T.scored_tables({"a": df, "b": df.limit(0)}, stage)
     assert scored.where("key_ = 102 and cut_").count() == 2 and scored.where("key_ in (100, 101)").count() == 0
     assert {r["model"] for r in T.rates(scored).collect()} == {"m", None}
 
