@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 import warnings
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -65,13 +67,16 @@ def canonical_contract(text: Column) -> Column:
 def contract_fault(text: Column) -> Column:
     """Why a text is no strict contract, null if it is one: missing, invalid_json,
     missing_keys, extra_keys or wrong_types."""
-    kind = lambda k: F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), f"$.{k}", "variant"))
+    names = keys(text)
+    expected = F.array(*map(F.lit, CONTRACT_KEYS))
+    parsed = F.try_parse_json(text)
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(parsed, f"$.{k}", "variant"))
     typed = kind("interface").startswith("OBJECT")
     for section in ("preconditions", "postconditions", "invariants"):
         typed = typed & kind(section).startswith("ARRAY")
     return (
-        F.when(text.isNull() | (F.trim(text) == ""), "missing").when(~is_object(text), "invalid_json")
-        .when(F.size(missing_keys(text)) > 0, "missing_keys").when(F.size(extra_keys(text)) > 0, "extra_keys")
+        F.when(text.isNull() | (F.trim(text) == ""), "missing").when(names.isNull(), "invalid_json")
+        .when(F.size(F.array_except(expected, names)) > 0, "missing_keys").when(F.size(F.array_except(names, expected)) > 0, "extra_keys")
         .when(~F.coalesce(typed, F.lit(False)), "wrong_types")
     )
 
@@ -84,30 +89,34 @@ def contract_source(contract: Column, response: Column) -> Column:
     )
 
 
+_BRACES = re.compile(r'\\.|"|[{}]', re.S)
+
+
 def scan_object(text: str) -> str | None:
-    """The first complete ``{...}`` of a text: depth is counted outside of strings."""
-    start = text.find("{")
-    while start >= 0:
-        depth, quoted, escaped = 0, False, False
-        for i in range(start, len(text)):
-            c = text[i]
+    """The first complete ``{...}`` of a text, braces inside strings aside; one pass.
+
+    Where an outer brace is never closed, the first complete one inside counts."""
+    opened, quoted = [], False
+    best: tuple[int, int] | None = None
+    for m in _BRACES.finditer(text, max(0, text.find("{"))):
+        token = m.group()
+        if token[0] == "\\":
             if quoted:
-                if escaped:
-                    escaped = False
-                elif c == "\\":
-                    escaped = True
-                elif c == '"':
-                    quoted = False
-            elif c == '"':
-                quoted = True
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if not depth:
-                    return text[start:i + 1]
-        start = text.find("{", start + 1)
-    return None
+                continue
+            token = token[1]
+        if token == '"':
+            quoted = not quoted
+        elif quoted:
+            continue
+        elif token == "{":
+            opened.append(m.end() - 1)
+        elif token == "}" and opened:
+            start = opened.pop()
+            if best is None or start < best[0]:
+                best = (start, m.end())
+            if not opened:
+                break
+    return text[best[0]:best[1]] if best else None
 
 
 def literal(text: str) -> object:
@@ -126,39 +135,62 @@ def literal(text: str) -> object:
         return text
 
 
-def find_contract(text: str) -> dict | None:
-    """The first JSON object in a response that has all parts of a contract:
-    whole text, after reasoning, in fences, then at every brace."""
-    after = text.rsplit("</think>", 1)[-1]
-    places = [text, after]
-    pieces = after.split("```")
-    places += [p.split("\n", 1)[-1] for p in pieces[1::2]]
-    decoder = json.JSONDecoder()
-
-    def accept(value: object) -> dict | None:
-        for v in (value, value.get("contract") if isinstance(value, dict) else None):
-            if isinstance(v, dict) and all(k in v for k in CONTRACT_KEYS):
-                return {k: v[k] for k in CONTRACT_KEYS}
-        return None
+_FENCED = re.compile(r"```[A-Za-z0-9_+-]*\s*(.*?)```", re.S)
+_BAD_ESCAPE = re.compile(r'\\(?!["\\/bfnrtu])')
 
-    for place in places:
+
+def objects_in(text: str) -> Iterator[dict]:
+    """JSON objects of a text: the whole text, fenced blocks, then objects in their
+    order; of nested ones the outer, and the inner ones only where the outer does not parse."""
+    for place in (text, *_FENCED.findall(text)):
         try:
-            if got := accept(json.loads(place)):
-                return got
+            value = json.loads(place)
         except (ValueError, RecursionError):
             continue
-    at = after.find("{")
+        if isinstance(value, dict):
+            yield value
+    decoder, at = json.JSONDecoder(), text.find("{")
     while at >= 0:
         try:
-            value, _ = decoder.raw_decode(after, at)
-            if got := accept(value):
-                return got
+            value, end = decoder.raw_decode(text, at)
+            yield value
         except (ValueError, RecursionError):
-            pass
-        at = after.find("{", at + 1)
+            end = at + 1
+        at = text.find("{", end)
+
+
+def first_object(text: str | None) -> dict | None:
+    """The first JSON object of an answer."""
+    return next(objects_in(text.strip()), None) if isinstance(text, str) else None
+
+
+def as_mapping(text: str | None) -> dict:
+    """A JSON or Python mapping, the empty one for anything else."""
+    value = literal(text) if isinstance(text, str) else None
+    return value if isinstance(value, dict) else {}
+
+
+def find_contract(text: str) -> dict | None:
+    """The first JSON object in a response that has all parts of a contract, itself or
+    as its member ``contract``; looked for after reasoning, then in the whole response, each
+    as it stands and then with backslashes doubled that start no JSON escape."""
+    after = text.rsplit("</think>", 1)[-1]
+    for place in dict.fromkeys((after, text)):
+        for spelled in dict.fromkeys((place, _BAD_ESCAPE.sub(r"\\\\", place))):
+            for value in objects_in(spelled.strip()):
+                for held in (value, value.get("contract")):
+                    if isinstance(held, dict) and all(k in held for k in CONTRACT_KEYS):
+                        return {k: held[k] for k in CONTRACT_KEYS}
     return None
 
 
+def without_keys(value: object, names: set[str]) -> object:
+    """A nested value without the members of these names, at any depth."""
+    if isinstance(value, dict):
+        return {k: without_keys(v, names) for k, v in value.items() if k not in names}
+    return [without_keys(v, names) for v in value] if isinstance(value, list) else value
+
+
 def dump(value: object) -> str:
     """Canonical JSON text: sorted keys, no blanks."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)

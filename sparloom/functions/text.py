@@ -107,5 +107,10 @@ def prompt(*parts: Column) -> Column:
 
 
 def generic_instruction(text: Column) -> Column:
-    """Whether an instruction says nothing beyond fix / correct / improve it."""
-    return F.regexp_like(strip(text), F.lit(r"(?i)^(?:fix|correct|repair|improve|update|revise)(?: (?:it|this|the (?:issue|problem|clause|contract|error)))?[.!]?$"))
+    """Whether an instruction only says to fix, correct or change this or that."""
+    return F.regexp_like(strip(text), F.lit(r"(?i)^(?:fix|correct|repair|clarify|align|replace|add|remove)(?: this| the)?(?: clause| issue| requirement| expression| description)?[.!]?$"))
+
+
+def same_text(a: Column, b: Column) -> Column:
+    """Whether two texts are equal without white space at their ends."""
+    return F.coalesce(strip(a) == strip(b), F.lit(False))

@@ -3,23 +3,19 @@
 Structural rules are native expressions over the contract struct; each yields an
 array of issues, and the arrays are concatenated, so a contract is judged in one
 pass without a shuffle. Rules about expressions need a Python parser and run in
-one Arrow-batched UDF over the clause arrays.
+one Arrow-batched UDF (:mod:`sparloom.operators.verifier`).
 """
 
 from __future__ import annotations
 
-import ast
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType
+
+from sparloom.operators.verifier import expression_issues_udf
 
 SECTIONS = {"preconditions": "P", "postconditions": "Q", "invariants": "I"}
 MODES = ["functional", "stdin_stdout"]
-#: Calls an expression may not make, and methods that change their object.
-FORBIDDEN_CALLS = ["print", "input", "open", "exec", "eval", "compile", "__import__", "globals", "locals", "setattr", "delattr"]
-MUTATORS = ["append", "extend", "insert", "remove", "pop", "clear", "sort", "reverse", "update", "add", "discard", "setdefault"]
 OUTPUT_NAMES = r"\b(?:stdout|return_value|result|output)\b"
 
 
@@ -74,66 +70,14 @@ def structure_issues(contract: Column) -> Column:
     return F.concat(head, *[F.coalesce(clause_issues(contract, s), F.filter(head, lambda _: F.lit(False))) for s in SECTIONS])
 
 
-def expression_faults(expression: str | None) -> list[str]:
-    """Faults of one clause expression."""
-    if not expression or not expression.strip():
-        return []
-    try:
-        tree = ast.parse(expression.strip(), mode="eval")
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        try:
-            ast.parse(expression)
-            return ["not_an_expression"]
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return ["syntax_error"]
-    found = set()
-    for node in ast.walk(tree):
-        if isinstance(node, ast.NamedExpr):
-            found.add("assignment")
-        elif isinstance(node, ast.Constant) and node.value is Ellipsis:
-            found.add("ellipsis")
-        elif isinstance(node, ast.Call):
-            if isinstance(node.func, ast.Name):
-                if node.func.id in FORBIDDEN_CALLS:
-                    found.add("forbidden_call")
-                if node.func.id in ("all", "any") and (len(node.args) != 1 or node.keywords):
-                    found.add("quantifier_arity")
-                elif node.func.id in ("all", "any") and isinstance(node.args[0], ast.Constant):
-                    found.add("constant_quantifier")
-            elif isinstance(node.func, ast.Attribute) and node.func.attr in MUTATORS:
-                found.add("mutation")
-        elif isinstance(node, (ast.GeneratorExp, ast.ListComp, ast.SetComp)):
-            used = {n.id for n in ast.walk(node.elt) if isinstance(n, ast.Name)} | {
-                n.id for g in node.generators for c in g.ifs for n in ast.walk(c) if isinstance(n, ast.Name)
-            }
-            bound = {n.id for g in node.generators for n in ast.walk(g.target) if isinstance(n, ast.Name)}
-            if len(node.generators) == 1 and bound and not bound & used:
-                found.add("unused_quantifier_variable")
-    body = tree.body
-    if isinstance(body, (ast.Constant, ast.List, ast.Dict, ast.Tuple, ast.Set, ast.BinOp, ast.JoinedStr, ast.ListComp)) and not (
-        isinstance(body, ast.Constant) and isinstance(body.value, bool)
-    ):
-        found.add("not_boolean")
-    return sorted(found)
-
-
-@F.pandas_udf(ArrayType(ArrayType(StringType())))
-def expression_faults_udf(expressions: pd.Series) -> pd.Series:
-    """Faults of each expression of an array."""
-    return expressions.map(lambda xs: [] if xs is None else [expression_faults(x) for x in xs])
-
-
 def expression_issues(df: DataFrame, contract: str, key: str) -> DataFrame:
-    """(key, location, fault) of all clauses of all contracts."""
-    parts = []
-    for section in SECTIONS:
-        clauses = F.col(contract)[section]
-        faults = df.select(key, expression_faults_udf(F.transform(clauses, lambda c: c["expression"])).alias("faults"))
-        parts.append(
-            faults.select(key, F.posexplode("faults").alias("i", "f"))
-            .select(key, F.concat(F.lit(section + "["), F.col("i").cast("string"), F.lit("]")).alias("location"), F.explode("f").alias("fault"))
-        )
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """(key, location, code, detail) of all clause expressions of all contracts."""
+    located = lambda section: F.transform(
+        F.col(contract)[section], lambda c, i: F.struct(F.concat(F.lit(section + "["), i.cast("string"), F.lit("].expression")).alias("location"), c["expression"].alias("expression"))
+    )
+    every = F.concat(*[F.coalesce(located(section), F.array().cast("array<struct<location:string,expression:string>>")) for section in SECTIONS])
+    clauses = df.select(key, F.explode(every).alias("c")).select(key, "c.location", "c.expression")
+    return clauses.select(key, "location", F.explode(expression_issues_udf("expression")).alias("i")).select(key, "location", "i.code", "i.detail")
 
 
 LOCATION = re.compile(r"^(?:interface(?:\.\w+)?|(?:preconditions|postconditions|invariants)(?:\[\d+\])?)$")
@@ -162,5 +106,6 @@ def renumbered(clauses: Column, letter: str, most: int = 12) -> Column:
 
 
 def distinct_issues(issues: Column) -> Column:
-    """The first issue of each (type, location, action)."""
-    return F.array_distinct(issues)
+    """The first issue of each (type, location, action), in order."""
+    same = lambda a, b: (a["type"] == b["type"]) & (a["location"].eqNullSafe(b["location"])) & (a["action"].eqNullSafe(b["action"]))
+    return F.filter(issues, lambda x, i: ~F.exists(F.slice(issues, 1, i), lambda y: same(x, y)))

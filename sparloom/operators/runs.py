@@ -3,7 +3,9 @@ that is still to be done, and counters of runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sparloom.functions.arrays import index_p95
 from sparloom.functions.text import is_blank
@@ -97,3 +99,75 @@ def latest_by_suffix(df: DataFrame, by: str, path: str) -> DataFrame:
     """The path with the largest number at its end (before any extension), for each group."""
     number = F.nullif(F.regexp_extract(path, r"(\d+)(?:\.\w+)*$", 1), F.lit("")).cast("decimal(38,0)")
     return df.withColumn("_n", number).where(F.col("_n").isNotNull()).groupBy(by).agg(F.max_by(path, F.struct("_n", path)).alias("latest"))
+
+
+def tries(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows with ``attempt``, their number among those of the same key."""
+    return df.withColumn("attempt", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+
+
+def context_budget(prompt: Column, output: Column, context: Column) -> tuple[Column, Column]:
+    """(outcome, output tokens allowed): fits, clamped to what is left, exceeds, or unknown."""
+    left = context - prompt
+    outcome = F.when(prompt.isNull(), "unknown").when(output <= left, "fits").when(left > 0, "clamped").otherwise("exceeds")
+    return outcome, F.when(left > 0, F.least(output, left))
+
+
+def require_budget(df: DataFrame, outcome: str, key: str) -> None:
+    """Raise if a prompt with its output exceeds the context (the policy that does not clamp)."""
+    from sparloom.operators.selection import require_none
+
+    require_none(df.where(F.col(outcome).isin("clamped", "exceeds")), "context exceeded", key)
+
+
+def first_text(*columns: str | Column) -> Column:
+    """The first value that is not blank, stripped."""
+    from sparloom.functions.text import strip
+
+    return F.coalesce(*[F.nullif(strip(F.col(c) if isinstance(c, str) else c), F.lit("")) for c in columns])
+
+
+def index_conflicts(records: DataFrame, jobs: DataFrame, key: str, index: str, expected: str = "expected") -> DataFrame:
+    """Records whose index is set and not that of their job; a resumed run raises on them."""
+    return records.where(F.col(index).isNotNull()).join(jobs, key).where(F.col(index) != F.col(expected))
+
+
+def version_matches(expected: dict[str, Column]) -> Column:
+    """Whether a record carries these values, null matching nothing."""
+    same = F.lit(True)
+    for name, value in expected.items():
+        same = same & F.coalesce(F.col(name) == value, F.lit(False))
+    return same
+
+
+def fingerprint(*columns: str) -> Column:
+    """SHA-256 of settings; null counts as the empty text."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"), 256)
+
+
+def stamped(df: DataFrame, name: str = "generated_at") -> DataFrame:
+    """Rows with the time of the query."""
+    return df.withColumn(name, F.current_timestamp())
+
+
+def provenance(spark: SparkSession, settings: dict[str, str], bodies: DataFrame | None = None) -> DataFrame:
+    """One row: settings as JSON, their digest, the digest of all input bodies, and the time.
+
+    Bodies (file_path, sha256) are hashed one by one and combined by an order-free sum."""
+    digest = F.sum(F.xxhash64("file_path", "sha256").cast("decimal(38,0)")).alias("files_digest")
+    row = spark.range(1).select() if bodies is None else bodies.agg(F.count(F.lit(1)).alias("n_files"), digest)
+    shown = F.lit(json.dumps(settings, sort_keys=True))
+    return stamped(row.withColumn("settings", shown).withColumn("settings_sha256", F.sha2(F.col("settings").cast("binary"), 256)))
+
+
+def accounting(df: DataFrame, column: str, parts: dict[str, str]) -> DataFrame:
+    """One row: all rows, rows of each part, and whether the parts add up to all."""
+    counted = df.agg(F.count(F.lit(1)).alias("selected"), *[F.count_if(F.col(column) == value).alias(name) for value, name in parts.items()])
+    return counted.withColumn("balanced", F.col("selected") == sum((F.col(name) for name in parts.values()), F.lit(0)))
+
+
+def require_balanced(accounted: DataFrame) -> None:
+    """Raise unless the parts add up."""
+    row = accounted.first()
+    if not row["balanced"]:
+        raise ValueError(f"rows do not add up: {row.asDict()}")

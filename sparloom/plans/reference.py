@@ -102,8 +102,8 @@ def failure_reasons(spark, sf_dir):
     return tests.groupBy("task").agg(F.array_join(F.array_distinct(listed), ",").alias("reasons"))
 
 
-@query("""SELECT code, CASE code WHEN 'true' THEN 'passed' WHEN 'false' THEN 'logical_error' WHEN '-1' THEN 'timeout' WHEN '-2' THEN 'syntax_error'
-WHEN '-3' THEN 'runtime_error' WHEN '-4' THEN 'compile_error' ELSE 'evaluator_error' END AS outcome, count(*) AS n
+@query("""SELECT code, CASE code WHEN 'true' THEN 'passed' WHEN 'false' THEN 'logical_error' WHEN '-1' THEN 'timeout' WHEN '-2' THEN 'compile_or_load_error'
+WHEN '-3' THEN 'runtime_or_process_error' WHEN '-4' THEN 'compile_error' ELSE 'unknown_result' END AS outcome, count(*) AS n
 FROM (SELECT CASE l_linenumber WHEN 1 THEN 'true' WHEN 2 THEN 'false' WHEN 3 THEN '-1' WHEN 4 THEN '-2' WHEN 5 THEN '-3' WHEN 6 THEN '-4' ELSE '?' END AS code FROM lineitem) GROUP BY 1, 2""")
 def outcome_names(spark, sf_dir):
     codes = F.element_at(F.array(*map(F.lit, ["true", "false", "-1", "-2", "-3", "-4", "?"])), F.least(F.col("l_linenumber"), F.lit(7)))

@@ -23,7 +23,7 @@ def test_text(spark):
     check(spark, text.unwrap_fence, [("```json\n{}\n```", "{}"), ("x ```json\n{}\n```", "x ```json\n{}\n```"), ("```\na\n```\n```\nb\n```", "```\na\n```\n```\nb\n```")])
     check(spark, text.after_reasoning, [("<think>a</think> b", "b"), ("<think>a", ""), ("  c\n", "c"), (None, None)])
     check(spark, text.escape_repaired, [('{"a": "\\d"}', '{"a": "\\\\d"}'), ('"\\n"', '"\\n"')])
-    check(spark, text.generic_instruction, [("Fix it.", True), ("Replace x with y", False)])
+    check(spark, text.generic_instruction, [("Fix this issue.", True), ("clarify", True), ("Replace x with y", False)])
     check(spark, text.collapse, [("  A \n b ", "a b")])
 
 
