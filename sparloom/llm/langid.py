@@ -1,22 +1,23 @@
 """Natural language of short texts by character n-gram naive Bayes.
 
 Byte trigrams are hashed into a fixed number of buckets; a batch of texts is
-scored with a few array operations. The model is fitted on a bounded sample of
-labelled rows (``FIT_ROWS`` in order of a hash of the key, a documented
-parameter). Labels may be wrong, missing or spelled in capitals; only the
+scored with a few array operations. The model is fitted on all labelled rows: each
+task counts buckets for each language, and only the sums, of fixed number, reach
+the driver. Labels may be wrong, missing or spelled in capitals; only the
 languages named are kept and a few wrong labels do not move the counts.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 LANGUAGES = ("en", "de", "fr", "es")
 BUCKETS = 1 << 15
-FIT_ROWS = 3000
 _CODE_LINE = re.compile(r"^.*(?:[(){}\[\]=;_]|->|::|\d{4}-\d\d-\d\d).*$", re.M)
 _FENCED = re.compile(r"```.*?(?:```|\Z)", re.S)
 
@@ -47,9 +48,14 @@ class LanguageModel:
         table = np.zeros((BUCKETS, len(LANGUAGES)))
         for i, language in enumerate(LANGUAGES):
             joined = "\n\n".join(prose_only(t) for t in samples.get(language, ())).lower().encode()
-            counts = np.bincount(trigram_buckets(joined), minlength=BUCKETS) + 0.5
-            table[:, i] = np.log(counts / counts.sum())
-        return cls(table.astype(np.float32))
+            table[:, i] = np.bincount(trigram_buckets(joined), minlength=BUCKETS)
+        return cls.of_counts(table)
+
+    @classmethod
+    def of_counts(cls, counts: np.ndarray) -> LanguageModel:
+        """From (BUCKETS, languages) counts; each bucket counts half a time more."""
+        smooth = counts + 0.5
+        return cls(np.log(smooth / smooth.sum(axis=0)).astype(np.float32))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """(texts, languages) log-likelihoods; zeros for texts below three bytes."""
@@ -75,11 +81,21 @@ class LanguageModel:
         return out
 
 
-def fit_from(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> LanguageModel:
-    """Fit on at most ``rows`` labelled rows."""
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    totals = np.zeros((len(LANGUAGES), BUCKETS), dtype=np.int64)
+    for pdf in batches:
+        for i, language in enumerate(LANGUAGES):
+            joined = "\n\n".join(prose_only(t) for t in pdf["text"][pdf["lang"] == language]).lower().encode("utf-8", "replace")
+            totals[i] += np.bincount(trigram_buckets(joined), minlength=BUCKETS)
+    at = np.nonzero(totals)
+    yield pd.DataFrame({"language": at[0].astype("int32"), "bucket": at[1].astype("int32"), "n": totals[at]})
+
+
+def fit_from(df: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
+    """Fit on all labelled rows."""
     label = F.lower(F.trim(F.col(lang)))
-    picked = (
-        df.where(label.isin(*LANGUAGES) & F.col(text).isNotNull()).orderBy(F.xxhash64(key)).limit(rows)
-        .select(label.alias("lang"), F.col(text).alias("text")).collect()
-    )
-    return LanguageModel.fit({language: [r["text"] for r in picked if r["lang"] == language] for language in LANGUAGES})
+    rows = df.where(label.isin(*LANGUAGES) & F.col(text).isNotNull()).select(label.alias("lang"), F.col(text).alias("text"))
+    counts = np.zeros((BUCKETS, len(LANGUAGES)))
+    for row in rows.mapInPandas(_counted, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).collect():
+        counts[row["bucket"], row["language"]] = row["n"]
+    return LanguageModel.of_counts(counts)

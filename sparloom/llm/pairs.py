@@ -48,8 +48,8 @@ COPY_OF_QUESTION = 0.5
 _NOTHING = re.compile(r"```[\w+-]*|</?think>|[\s​‌‍⁠﻿­᠎⁡-⁤ㅤ]+")
 _THINK = re.compile(r"<think>.*?(?:</think>|\Z)", re.S)
 _FENCE = re.compile(r"```([\w+#-]*)[^\n]*\n(.*?)(?:```|\Z)", re.S)
-_COMMENT = re.compile(r"(?m)(?:^|\s)(?:#|//)[ \t]+(.*)$|(?:\"\"\"|''')(.*?)(?:\"\"\"|'''|\Z)", re.S)
-_LINE_COMMENT = re.compile(r"(?m)(?:^|[ \t])(?:#|//)[ \t]+(.*)$")
+#: Two slashes behind code divide in Python; at the start of a line they are a comment of other languages.
+_LINE_COMMENT = re.compile(r"(?m)(?:(?:^|[ \t])#|^[ \t]*//)[ \t]+(.*)$")
 _DOC = re.compile(r"(?:\"\"\"|''')(.*?)(?:\"\"\"|'''|\Z)", re.S)
 _FOREIGN = re.compile(r"[{;][ \t]*$|^\s*(?:end|fi|done|esac)\s*$|^\s*(?:package|func|fn|public|#include|using|let|const|var)\b", re.M)
 _QUOTE_MARK = re.compile(r"(?m)^[ \t]*(?:>+|#+|//+|\*|\"\"\"|''')[ \t]?")
@@ -116,11 +116,11 @@ def classify(text: str, model: EndModel) -> tuple[str | None, str, str, bool]:
     if not CODE_START.match(code.lstrip()) and code.strip() and not _FOREIGN.search(code) and not _parses(code):
         only_words, body, code, comments = True, body + " " + code, "", ""
     said = f"{body}\n{comments}\n{code if code and only_words else ''}"
-    if only_words and REFUSAL.search(said) and len(_WORDS.findall(said)) <= 120:
+    if only_words and REFUSAL.search(said):
         return "refusal", "", "", False
     if code.strip() and not only_words and not is_python(code):
         return "language", "", "", False
-    maybe_copied = only_words and len(_WORDS.findall(said)) >= 8
+    maybe_copied = only_words and bool(_WORDS.search(said))
     cut = is_cut(text, model)
     return ("truncated" if cut else None), f"{body} {think}", comments, maybe_copied
 
