@@ -247,3 +247,17 @@ def json_or_literal(text: Column) -> Column:
     """Parsed value as canonical JSON: native for whole JSON, the UDF elsewhere."""
     whole = F.to_json(F.try_parse_json(text))
     return F.when(is_object(text), whole).otherwise(parse_jsonish_udf(F.when(~is_object(text), text)))
+
+
+@F.pandas_udf(StringType())
+def first_object_udf(texts: pd.Series) -> pd.Series:
+    """The first JSON object of each answer as JSON with sorted keys."""
+    return texts.map(lambda t: json.dumps(v, sort_keys=True) if (v := first_object(t)) is not None else None)
+
+
+def unwrapped_ids(text: Column) -> Column:
+    """Ids of a JSON list that may lie in lists of one element each, null for any other value."""
+    inner = F.regexp_extract(text, r"^\s*\[[\s\[]*([-\d,\s]*)[\s\]]*\]\s*$", 1)
+    fits = F.regexp_like(text, F.lit(r"^\s*\[[\s\[]*[-\d,\s]*[\s\]]*\]\s*$"))
+    ids = F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<bigint>")
+    return F.when(fits, ids)

@@ -6,13 +6,13 @@ or a folder of such files read with :func:`read_bodies`. Steps:
 1. *Split packing.* The scan runs in a session of its own whose
    ``maxPartitionBytes`` and ``openCostInBytes`` make the engine put many small
    files into one combined split.
-2. *Extraction.* One map-only stage parses the bodies. A record is a JSON
-   object that is a whole body, an element of a whole array, or a line.
-3. *One copy each.* Records are keyed by run and task; equal keys are reduced
-   to their first copy, partially before the exchange.
+2. *Extraction.* One map-only stage parses the bodies and stages what it finds. A
+   record is a JSON object that is a whole body, an element of a whole array, or a line.
+3. *One copy each.* Keys with place and hash of their records are exchanged; records
+   whose key does not repeat pass without a look, of the others the first copy does.
 4. *Staged write.* Partitions are merged with ``coalesce`` (no shuffle) down to
-   the number of target files, written to a staging path, verified, published
-   by a rename.
+   the number of target files, written to a staging path, verified in number and
+   contents, published by a rename.
 
 Defined results: a null or blank body, a half-written body and a file whose
 name starts with ``_`` hold no record; a missing, null, ``""`` or ``"None"``
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparloom.storage import filesystem, new_path
+from sparloom.storage import filesystem, new_path, staged
 
 RECORD_SCHEMA = "run_id string, task_id string, record string, file_path string, pos int"
 ABSENT_IDS = (None, "", "None")
@@ -39,10 +39,12 @@ ABSENT_IDS = (None, "", "None")
 
 def packed_session(spark: SparkSession, max_partition_bytes: int = 64 << 20, open_cost_bytes: int = 1 << 20) -> SparkSession:
     """A session that packs small files: splits of up to ``max_partition_bytes``,
-    each file counted as ``open_cost_bytes`` more than its size."""
+    each file counted as ``open_cost_bytes`` more than its size. All other settings
+    are the caller's."""
     own = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        own.conf.set(key, spark.conf.get(key))
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
     own.conf.set("spark.sql.files.maxPartitionBytes", str(max_partition_bytes))
     own.conf.set("spark.sql.files.openCostInBytes", str(open_cost_bytes))
     return own
@@ -104,40 +106,48 @@ def extract_records(bodies: DataFrame) -> DataFrame:
     return bodies.select("run_id", "file_path", "content").mapInPandas(_extract, RECORD_SCHEMA)
 
 
-def one_copy(records: DataFrame) -> DataFrame:
-    """One record for each (run_id, task_id)."""
-    return records.groupBy("run_id", "task_id").agg(F.min_by("record", F.struct("file_path", "pos")).alias("record"))
+def first_places(records: DataFrame) -> DataFrame:
+    """For each key the place and the hash of its first copy, and the number of copies.
 
+    Only keys, places and hashes are exchanged; the records stay where they are."""
+    slim = records.select("run_id", "task_id", F.struct("file_path", "pos").alias("place"), F.xxhash64("record").alias("hash"))
+    return slim.groupBy("run_id", "task_id").agg(F.min("place").alias("place"), F.min_by("hash", "place").alias("hash"), F.count(F.lit(1)).alias("copies"))
 
-def _keys_summary(keys: DataFrame) -> tuple[int, int]:
-    row = keys.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("run_id", "task_id").cast("decimal(38,0)")).alias("s"),
-    ).first()
+
+def one_copy(records: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """One record for each (run_id, task_id): only keys that repeat are looked up."""
+    repeated = (places if places is not None else first_places(records)).where("copies > 1").select(F.col("run_id").alias("run_"), F.col("task_id").alias("task_"), F.col("place").alias("place_"))
+    same = F.col("run_id").eqNullSafe(F.col("run_")) & (F.col("task_id") == F.col("task_"))
+    looked = records.join(repeated, same, "left")
+    return looked.where(F.col("place_").isNull() | F.struct("file_path", "pos").eqNullSafe(F.col("place_"))).select("run_id", "task_id", "record")
+
+
+def _contents(keys: DataFrame) -> tuple[int, int]:
+    """Number of rows and an order-free sum of hashes of key and record."""
+    row = keys.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("run_id", "task_id", "hash").cast("decimal(38,0)")).alias("s")).first()
     return row["n"], int(row["s"] or 0)
 
 
 def consolidate(bodies: DataFrame, label: str = "consolidated", target_file_bytes: int = 64 << 20) -> DataFrame:
     """Write the consolidated store of ``bodies`` and return it.
 
-    The number of files is the text volume over ``target_file_bytes``. The
-    staged files are checked against the source before they are published:
-    the distinct source keys and the stored keys must agree in number and in
-    the sum of their hashes, and no stored key may occur twice.
+    Bodies are read and parsed once; what was found is staged. The number of
+    files is the volume of the records over ``target_file_bytes``. The staged
+    store is checked against what was found before it is published: keys and
+    records must agree in number and in the sum of their hashes.
     """
     spark = bodies.sparkSession
-    records = extract_records(bodies)
-    expected_rows = records.select("run_id", "task_id").distinct()
-    volume = bodies.agg(F.sum(F.length("content").cast("long"))).first()[0] or 0
+    records = staged(extract_records(bodies), label + "-found")
+    places = staged(first_places(records), label + "-keys")
+    volume = records.agg(F.sum(F.length("record").cast("long"))).first()[0] or 0
     n_files = max(1, math.ceil(volume / target_file_bytes))
     path = new_path(spark, label)
     stage = path + "-staging"
-    one_copy(records).coalesce(n_files).write.mode("error").option("compression", "zstd").parquet(stage)
-    store = spark.read.parquet(stage)
-    expected, found = _keys_summary(expected_rows), _keys_summary(store)
-    unique = store.select("run_id", "task_id").distinct().count()
-    if expected != found or unique != found[0]:
-        raise RuntimeError(f"staged store differs from its source: {expected} keys expected, {found} found, {unique} unique")
+    one_copy(records, places).coalesce(n_files).write.mode("error").option("compression", "zstd").parquet(stage)
+    expected = _contents(places)
+    found = _contents(spark.read.parquet(stage).select("run_id", "task_id", F.xxhash64("record").alias("hash")))
+    if expected != found:
+        raise RuntimeError(f"staged store differs from its source: {expected} expected, {found} found (records, sum of hashes)")
     fs, staged_path = filesystem(spark, stage)
     if not fs.rename(staged_path, filesystem(spark, path)[1]):
         raise RuntimeError(f"cannot publish {stage}")

@@ -11,8 +11,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparloom.functions import jsonx, text
-from sparloom.operators import evaluation, runs, verifier
+from sparloom.operators import evaluation, runs, selection, verifier
 from sparloom.plans.reference import VALID_SQL
+from sparloom.sources import sinks
 from sparloom.storage import table
 
 QUERIES: dict = {}
@@ -318,3 +319,56 @@ WHEN least(json_array_length(input_output, '$.inputs'), json_array_length(input_
 def unrun_tasks(spark, sf_dir):
     """Why a held-out task cannot be run, null if it can (its question stands for its code)."""
     return table(spark, sf_dir, "testing_data").select("item_no", evaluation.unrun_kind(F.col("input_output"), F.col("question")).alias("kind"))
+
+
+# --- order, names and nested ids -----------------------------------------------------------
+
+
+@query("SELECT item_no, row_number() OVER (ORDER BY md5('42|' || item_no), item_no) - 1 AS position FROM training_data")
+def shuffled_rows(spark, sf_dir):
+    """Rows in a seeded order of the whole table."""
+    return selection.shuffled(table(spark, sf_dir, "training_data").select("item_no"), "item_no").select("item_no", "position")
+
+
+NAMES = [("a/b",), ("a b",), ("a_b",), ("é",), ("ü",), ("_x",), ("plain",), ("plain",)]
+
+
+@query(values("output_name, n_ids", [("a_b.json", 3), ("task.json", 2)]))
+def clashing_names(spark, sf_dir):
+    """Output names that several ids share."""
+    return sinks.clashing_outputs(spark.createDataFrame(NAMES, "task_id string"), "task_id")
+
+
+NESTED = [(1, "[1, 2, 3]", "1 2 3"), (2, "[[4, 5]]", "4 5"), (3, "[[[6]]]", "6"), (4, "[]", ""), (5, "[[]]", ""), (6, "[[1], [2]]", None), (7, None, None), (8, "7", None)]
+
+
+@query(values("n, ids", [(n, ids) for n, _, ids in NESTED]))
+def unwrapped_ids(spark, sf_dir):
+    """Ids from lists nested in lists of one element; null for any other nesting."""
+    rows = spark.createDataFrame([(n, t) for n, t, _ in NESTED], "n int, ids string")
+    return rows.select("n", F.array_join(jsonx.unwrapped_ids(F.col("ids")), " ").alias("ids"))
+
+
+ANSWERS = [
+    (1, '{"a": 1}', '{"a": 1}'), (2, 'text ```json\n{"b": {"c": 2}}\n``` {"d": 3}', '{"b": {"c": 2}}'), (3, 'first { broken {"e": "}"} rest', '{"e": "}"}'), (4, "[1]", None), (5, None, None), (6, '[{"f": 1}]', '{"f": 1}'),
+]
+
+
+@query(values("n, found", [(n, o) for n, _, o in ANSWERS]))
+def first_objects(spark, sf_dir):
+    """The first JSON object inside an answer."""
+    rows = spark.createDataFrame([(n, a) for n, a, _ in ANSWERS], "n int, answer string")
+    return rows.select("n", jsonx.first_object_udf("answer").alias("found"))
+
+
+RESPONSES = [
+    (1, json.dumps(HELD), True), (2, "Sure:\n```json\n" + json.dumps({"contract": HELD}) + "\n```", True), (3, json.dumps(HELD).replace("x > 0", r"re.match('\d', x)"), True),
+    (4, "<think>{" + json.dumps(HELD) + "</think>none", True), (5, json.dumps({"interface": {}}), False), (6, "", False), (7, None, False), (8, json.dumps(HELD)[:-1], False),
+]
+
+
+@query(values("n, recovered", [(n, int(o)) for n, _, o in RESPONSES]))
+def recovered_responses(spark, sf_dir):
+    """Whether a contract can be read from a response, as it stands or with its escapes repaired."""
+    rows = spark.createDataFrame([(n, r) for n, r, _ in RESPONSES], "n int, response string")
+    return rows.select("n", jsonx.find_contract_udf("response").isNotNull().cast("int").alias("recovered"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparloom.functions.text import safe_name
+from sparloom.storage import staged
 
 
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -21,9 +22,9 @@ def write_keyed(df: DataFrame, path: str, partition_by: list[str] | None = None,
 def write_kept_and_removed(df: DataFrame, reason: Column, kept: str, removed: str, overwrite: bool = False) -> None:
     """Rows without a reason to one place, the others with their reason to another.
 
-    The input is read twice, once for each side; both filters reach the scan.
+    The input is computed once and staged; both sides read the staged rows.
     """
-    marked = df.withColumn("reason", reason)
+    marked = staged(df.withColumn("reason", reason), "marked")
     write_keyed(marked.where(F.col("reason").isNull()).drop("reason"), kept, overwrite=overwrite)
     write_keyed(marked.where(F.col("reason").isNotNull()), removed, overwrite=overwrite)
 
@@ -40,3 +41,14 @@ def clashing_outputs(jobs: DataFrame, task_id: str) -> DataFrame:
     """Output names that several different ids share, or that are reserved."""
     named = jobs.select(task_id, output_name(F.col(task_id)).alias("output_name")).distinct()
     return named.groupBy("output_name").agg(F.count(F.lit(1)).alias("n_ids")).where((F.col("n_ids") > 1) | F.col("output_name").startswith("_"))
+
+
+def write_evaluation(details: DataFrame, summary: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Results of tasks as JSON lines below ``details``, their one-row summary below ``summary``."""
+    write_jsonl(details, f"{path}/details", overwrite)
+    write_jsonl(summary.coalesce(1), f"{path}/summary", overwrite)
+
+
+def split_errors(df: DataFrame, error: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that came out and rows with an error; errors are data with the same columns."""
+    return df.where(F.col(error).isNull()), df.where(F.col(error).isNotNull())

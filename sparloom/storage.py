@@ -2,8 +2,9 @@
 
 Long pipelines cut their lineage by writing a table to the folder the cluster
 names in ``spark.checkpoint.dir`` and reading it again, so that a lost executor
-costs a re-read and not a re-computation. Only where that setting is missing
-(tests, a laptop) is a temporary folder used.
+costs a re-read and not a re-computation. Only where that setting is missing and
+the master is local (tests, a laptop) is a temporary folder used; on a cluster
+that is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="sparloom-"))
     return "file://" + _FALLBACK[0]
@@ -58,7 +61,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
+    """One of the input tables; whoever reads one may run this package on the workers."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

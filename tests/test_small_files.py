@@ -46,7 +46,7 @@ def test_empty_table_and_hot_key(spark):
 
 def test_loss_is_noticed(spark, monkeypatch):
     rows = [("r", f"o/r/{i}.json", "{}", "") for i in range(5)]
-    monkeypatch.setattr(S, "one_copy", lambda records: records.where("task_id <> '3'").select("run_id", "task_id", "record"))
+    monkeypatch.setattr(S, "one_copy", lambda records, places: records.where("task_id <> '3'").select("run_id", "task_id", "record"))
     try:
         S.consolidate(spark.createDataFrame(rows, SCHEMA), "test")
     except RuntimeError as error:
