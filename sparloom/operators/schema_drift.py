@@ -111,17 +111,28 @@ def _one_to_one(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(keep, columns=["run_id", "field", "new_field"])
 
 
-def schema_changes(store: DataFrame, runs: DataFrame, rename_share: float = 0.6, stage=lambda df, label: df) -> DataFrame:
+def changed_pairs(order: DataFrame, versions: DataFrame) -> DataFrame:
+    """run_id, prev_run_id of neighbours whose fingerprints differ; equal ones have nothing to migrate."""
+    prints = fingerprints(versions).select("run_id", "fingerprint")
+    before = prints.select(F.col("run_id").alias("prev_run_id"), F.col("fingerprint").alias("prev_fingerprint"))
+    neighbours = order.where(F.col("prev_run_id").isNotNull()).select("run_id", "prev_run_id")
+    met = neighbours.join(prints, "run_id", "left").join(before, "prev_run_id", "left")
+    return met.where(~F.col("fingerprint").eqNullSafe(F.col("prev_fingerprint"))).select("run_id", "prev_run_id")
+
+
+def schema_changes(store: DataFrame, runs: DataFrame, rename_share: float = 0.6, stage=lambda df, label: df, fields: DataFrame | None = None) -> DataFrame:
     """run_id, change, field, new_field: what each run changes against the run before it.
 
+    Only versions whose fingerprint differs from the one before are compared.
+    ``fields`` are the fields of the store where they are at hand.
     ``rename_share`` is the share of shared tasks (with a value on both sides)
     that must hold an equal value of an equal type.
     """
-    fields = stage(explode_fields(store), "fields")
+    fields = stage(explode_fields(store), "fields") if fields is None else fields
     counts = store.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_records"))
     order = stage(run_order(runs, counts), "order")
     versions = stage(schema_versions(field_profile(fields), order), "versions")
-    pairs = order.where(F.col("prev_run_id").isNotNull()).select("run_id", "prev_run_id")
+    pairs = stage(changed_pairs(order, versions), "pairs")
     later = versions.select("run_id", "field", F.col("kind").alias("new_kind"), F.lit(1).alias("in_new"))
     earlier = pairs.join(
         versions.select(F.col("run_id").alias("prev_run_id"), "field", F.col("kind").alias("old_kind")), "prev_run_id"
@@ -236,7 +247,22 @@ def canonical_columns(routes: DataFrame) -> list[str]:
     return names
 
 
-def unified(store: DataFrame, routes: DataFrame, columns: list[str]) -> DataFrame:
+def migration_steps(changes: DataFrame, versions: DataFrame) -> DataFrame:
+    """run_id, rule, field, target, from_kind, to_kind: the explicit steps from each version to its successor.
+
+    ``rename`` moves the values of a field to its new name, ``default`` gives a field that
+    one side lacks null there (target is the field itself), ``cast`` changes the type of a field.
+    """
+    own = versions.select("run_id", F.col("field").alias("target"), F.col("kind").alias("to_kind"))
+    before = versions.select("run_id", "prev_run_id").distinct().join(
+        versions.select(F.col("run_id").alias("prev_run_id"), "field", F.col("kind").alias("from_kind")), "prev_run_id"
+    ).select("run_id", "field", "from_kind")
+    rule = F.when(F.col("change") == "renamed", "rename").when(F.col("change") == "retyped", "cast").otherwise("default")
+    steps = changes.select("run_id", rule.alias("rule"), "field", F.coalesce(F.nullif(F.col("new_field"), F.lit("")), F.col("field")).alias("target"))
+    return steps.join(own, ["run_id", "target"], "left").join(before, ["run_id", "field"], "left").select("run_id", "rule", "field", "target", "from_kind", "to_kind")
+
+
+def unified(store: DataFrame, routes: DataFrame, columns: list[str], fields: DataFrame | None = None) -> DataFrame:
     """Every record as one row with the same columns: fields are renamed to
     their canonical name, cast by :func:`cast_text`, absent ones are null.
 
@@ -244,7 +270,7 @@ def unified(store: DataFrame, routes: DataFrame, columns: list[str]) -> DataFram
     (a stray field whose name is another field's column in this run is one) and,
     as they were, the objects of which a column only holds one member.
     """
-    fields = explode_fields(store, keep_values=True).where(F.col("kind").isNotNull())
+    fields = (explode_fields(store, keep_values=True) if fields is None else fields).where(F.col("kind").isNotNull())
     targets = routes.select("run_id", F.col("canonical").alias("field"), F.lit(True).alias("is_target")).distinct()
     routed = fields.join(routes, ["run_id", "field"], "left").join(targets, ["run_id", "field"], "left")
     name = F.coalesce("canonical", F.when(F.col("is_target").isNull(), F.col("field")))

@@ -30,9 +30,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.schema_changes(*_drift(spark, sf_dir), stage=staged)
 
 
-def _versions(store: DataFrame, runs: DataFrame) -> DataFrame:
+def _versions(store: DataFrame, runs: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     counts = store.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_records"))
-    profile = schema_drift.field_profile(schema_drift.explode_fields(store))
+    profile = schema_drift.field_profile(schema_drift.explode_fields(store) if fields is None else fields)
     return staged(schema_drift.schema_versions(profile, schema_drift.run_order(runs, counts)), "versions")
 
 
@@ -41,17 +41,25 @@ def p3_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.fingerprints(_versions(*_drift(spark, sf_dir))).withColumn("fields", F.concat_ws(",", "fields"))
 
 
+def p3_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The migration steps from each version to the next, with types."""
+    store, runs = _drift(spark, sf_dir)
+    fields = staged(schema_drift.explode_fields(store), "fields")
+    return schema_drift.migration_steps(schema_drift.schema_changes(store, runs, stage=staged, fields=fields), _versions(store, runs, fields))
+
+
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records in one table with consistent columns, one for each canonical field of the runs."""
     store, runs = _drift(spark, sf_dir)
-    changes = schema_drift.schema_changes(store, runs, stage=staged)
-    routes = staged(schema_drift.field_routes(_versions(store, runs), changes), "routes")
-    return schema_drift.unified(store, routes, schema_drift.canonical_columns(routes))
+    fields = staged(schema_drift.explode_fields(store, keep_values=True), "fields")
+    changes = schema_drift.schema_changes(store, runs, stage=staged, fields=fields)
+    routes = staged(schema_drift.field_routes(_versions(store, runs, fields), changes), "routes")
+    return schema_drift.unified(store, routes, schema_drift.canonical_columns(routes), fields)
 
 
 QUERIES = {
     "p1_found": p1_found, "p1_store_files": p1_store_files,
-    "p3_found": p3_found, "p3_versions": p3_versions, "p3_unified": p3_unified,
+    "p3_found": p3_found, "p3_versions": p3_versions, "p3_steps": p3_steps, "p3_unified": p3_unified,
 }
 RECORDS_SQL = """
 f AS (SELECT run_id, regexp_extract(file_path, '[^/]*$') AS name, content, CASE WHEN json_valid(content) THEN json_type(content) ELSE 'LINES' END AS kind FROM raw_file WHERE content IS NOT NULL),
@@ -89,6 +97,12 @@ ORACLE: dict[str, str] = {
 UNION ALL SELECT g.run_id, 'removed', g.field, '' FROM gone g ANTI JOIN ren USING (run_id, field)
 UNION ALL SELECT w.run_id, 'added', w.field, '' FROM fresh w ANTI JOIN ren ON ren.run_id = w.run_id AND ren.new_field = w.field
 UNION ALL SELECT run_id, 'retyped', field, '' FROM retyped""",
+    "p3_steps": f"""WITH {CHANGES_SQL}, steps AS (SELECT run_id, 'rename' AS rule, field, new_field AS target FROM ren
+UNION ALL SELECT g.run_id, 'default', g.field, g.field FROM gone g ANTI JOIN ren USING (run_id, field)
+UNION ALL SELECT w.run_id, 'default', w.field, w.field FROM fresh w ANTI JOIN ren ON ren.run_id = w.run_id AND ren.new_field = w.field
+UNION ALL SELECT run_id, 'cast', field, field FROM retyped)
+SELECT s.run_id, s.rule, s.field, s.target, a.kind AS from_kind, b.kind AS to_kind FROM steps s JOIN pairs p ON p.run_id = s.run_id
+LEFT JOIN has a ON a.run_id = p.prev AND a.field = s.field LEFT JOIN has b ON b.run_id = s.run_id AND b.field = s.target""",
     "p3_versions": f"""WITH {CHANGES_SQL}, o2 AS (SELECT run_id, series, row_number() OVER (PARTITION BY series ORDER BY started_at, run_id) AS version FROM gen_run SEMI JOIN n USING (run_id)),
 l AS (SELECT o2.series, o2.version::INT AS version, o2.run_id, array_to_string(list_sort(list(field || ':' || coalesce(kind, 'null'))), ',') AS fields FROM has JOIN o2 USING (run_id) GROUP BY 1, 2, 3)
 SELECT *, sha256(fields) AS fingerprint FROM l""",
