@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparloom.llm import cross_split, encode, langid, packing, pairs, pii, syntax, truncation
+from sparloom.llm import chat, cross_split, encode, langid, packing, pairs, pii, syntax, truncation
+from sparloom.operators import selection
 from sparloom.storage import staged, table
 
 
@@ -122,7 +123,18 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(documents, p9_found(spark, sf_dir))
 
 
+def chat_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows as chat examples of at most 1,024 ids: reason, lengths, and a digest of the labels."""
+    target = F.when(F.col("contract").isNotNull(), F.to_json("contract", {"ignoreNullFields": "false"}))
+    messages = selection.chat_example(F.lit("Write the contract of the task as JSON."), F.col("original_prompt"), target)
+    rows = chat.encoded(table(spark, sf_dir, "training_data").select("item_no", messages.alias("messages")), "messages", 1024)
+    return rows.select(
+        "item_no", "reason", F.size("input_ids").alias("n_ids"), F.size(F.filter("labels", lambda x: x == -100)).alias("n_ignored"), F.xxhash64("labels").alias("labels_hash")
+    )
+
+
 QUERIES = {
+    "chat_encoding": chat_encoding,
     "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_rates": p4_rates,
     "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_counts": p6_counts, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_redacted": p9_redacted,
