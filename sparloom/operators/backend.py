@@ -9,6 +9,7 @@ these operators, as filters, so that only undecided rows reach a model.
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -49,6 +50,49 @@ def with_retries(call: Callable[[], list[str]], retries: int, sleep: Callable[[f
     raise AssertionError
 
 
+class HttpBackend:
+    """A model behind HTTP: prompts are posted one by one as JSON, the answer has ``field``.
+
+    A status of 400 to 499 is fatal, any other failure may be tried again."""
+
+    def __init__(self, url: str, field: str = "response", timeout: float = 600.0, settings: dict | None = None):
+        self.url, self.field, self.timeout, self.settings = url, field, timeout, settings or {}
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        import urllib.error
+        import urllib.request
+
+        out = []
+        for prompt in prompts:
+            body = json.dumps({**self.settings, "prompt": prompt}).encode()
+            request = urllib.request.Request(self.url, body, {"Content-Type": "application/json"})
+            try:
+                with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                    out.append(str(json.load(answer)[self.field]))
+            except urllib.error.HTTPError as error:
+                if 400 <= error.code < 500:
+                    raise FatalError(f"{self.url} answered {error.code}") from error
+                raise
+        return out
+
+
+def until_valid(call: Callable[[], str], read: Callable[[str], dict], tries: int = 2) -> dict:
+    """Call again until ``read`` accepts the answer: its value, or the last error, with the number of calls."""
+    errors: list[str] = []
+    for n in range(1, tries + 1):
+        got = read(call())
+        if got.get("valid"):
+            return {"ok": True, "value": got, "calls": n, "errors": errors}
+        errors.append(got.get("error", "invalid"))
+    return {"ok": False, "value": None, "calls": tries, "errors": errors}
+
+
+def stopped(text: str, stops: list[str]) -> str:
+    """A response up to the first of its stop texts."""
+    cuts = [at for stop in stops if stop and (at := text.find(stop)) >= 0]
+    return text[:min(cuts)] if cuts else text
+
+
 def generate(df: DataFrame, prompt: str, make: Callable[[], Backend], retries: int = 2, batch: int = 16) -> DataFrame:
     """``df`` with ``response`` and ``error``. A null prompt gives neither."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", response string, error string"

@@ -372,6 +372,21 @@ def repair_target(status: str, issue: dict | None, suggested: dict | None, form:
     return None
 
 
+def actionable(issues: list[dict]) -> dict | None:
+    """The first issue that the task's own words support and that is not about a description only."""
+    return next((i for i in issues if i.get("grounded") and not i.get("location", "").endswith(".description")), None)
+
+
+def report(status: str, reason: str, analysis: tuple[list[dict], list[dict]], issue: dict | None = None, candidates: list[dict] | None = None, doubts: list[dict] | None = None) -> dict:
+    """The record of one verification; a repair is asked for where a defect is named."""
+    _need(status in {"CORRECT", "DEFECTIVE", "UNCERTAIN"}, f"invalid status {status}")
+    repair = issue if status == "DEFECTIVE" else None
+    return {
+        "status": status, "reason": reason, "action": "REPAIR" if repair else "KEEP", "issue": issue, "repair_issue": repair, "candidates": candidates or [],
+        "uncertainties": doubts or [], "semantic_issues": analysis[0], "representation_issues": analysis[1], "blocking": sorted({i["code"] for i in blocking(analysis[1])}),
+    }
+
+
 def section_of(location: str) -> str | None:
     clause = CLAUSE_AT.fullmatch(location)
     return clause[1] if clause else location if location in LETTERS else None

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparloom import storage
 from sparloom.functions import jsonx
-from sparloom.operators import evaluation, runs, selection, verifier as V
+from sparloom.operators import backend, evaluation, runs, selection, verifier as V
 from sparloom.sources import sinks
 
 CLAUSE = {"id": "Q1", "expression": "x > 0", "description": "d"}
@@ -122,3 +122,45 @@ def test_sinks_and_storage(spark, tmp_path):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         storage.shared_dir(Elsewhere)
+
+
+def test_reports_and_actionable_issues():
+    issue = V.semantic("vague_clause", "invariants[0]", "clarify", "x") | {"grounded": True}
+    assert V.actionable([issue | {"grounded": False}, issue | {"location": "a.description"}, issue]) == issue and V.actionable([]) is None
+    done = V.report("DEFECTIVE", "confirmed", V.analyse(None, None), issue)
+    assert done["action"] == "REPAIR" and done["repair_issue"] == issue and V.report("CORRECT", "clean", ([], []))["action"] == "KEEP"
+    with pytest.raises(V.Unfit):
+        V.report("MAYBE", "", ([], []))
+
+
+def test_http_backend_and_tries():
+    import http.server
+    import threading
+
+    class Model(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            prompt = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            self.send_response(404 if "lost" in prompt else 500 if "down" in prompt else 200)
+            self.end_headers()
+            self.wfile.write(b'{"response": "fine"}')
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    model = backend.HttpBackend(f"http://127.0.0.1:{server.server_port}/")
+    assert model.generate(["a", "b"]) == ["fine", "fine"]
+    waits: list[float] = []
+    with pytest.raises(backend.FatalError, match="404"):
+        backend.with_retries(lambda: model.generate(["lost"]), 3, waits.append)
+    assert waits == []
+    with pytest.raises(OSError):
+        backend.with_retries(lambda: model.generate(["down"]), 2, waits.append)
+    assert waits == [1.0, 2.0]
+    server.shutdown()
+    answers = iter(["no", '{"decision": "REJECTED", "issue_index": null}'])
+    got = backend.until_valid(lambda: next(answers), lambda text: V.read_answer(text, V.confirmation, 1))
+    assert got["ok"] and got["calls"] == 2 and got["errors"] == ["confirmation is no object"]
+    assert not backend.until_valid(lambda: "", lambda text: V.read_answer(text, V.confirmation, 1))["ok"]
+    assert backend.stopped("a<end>b</s>", ["</s>", "<end>", ""]) == "a" and backend.stopped("abc", ["x"]) == "abc"
