@@ -97,9 +97,9 @@ def early_stop(spark, sf_dir):
 FROM (SELECT task, outcome, min(i) AS m FROM tests WHERE outcome <> 'passed' GROUP BY 1, 2) GROUP BY 1""")
 def failure_reasons(spark, sf_dir):
     """Failures of a task in order of first occurrence, each once."""
-    tests = _tests(spark, sf_dir).where("outcome <> 'passed'")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(*TEST_ORDER, "outcome"))), lambda s: s["outcome"])
-    return tests.groupBy("task").agg(F.array_join(F.array_distinct(listed), ",").alias("reasons"))
+    firsts = _tests(spark, sf_dir).where("outcome <> 'passed'").groupBy("task", "outcome").agg(F.min(F.struct(*TEST_ORDER)).alias("first"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("first", "outcome"))), lambda s: s["outcome"])
+    return firsts.groupBy("task").agg(F.array_join(listed, ",").alias("reasons"))
 
 
 @query("""SELECT code, CASE code WHEN 'true' THEN 'passed' WHEN 'false' THEN 'logical_error' WHEN '-1' THEN 'timeout' WHEN '-2' THEN 'compile_or_load_error'

@@ -12,10 +12,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
+_PATHS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +42,7 @@ def filesystem(spark: SparkSession, path: str):
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
     atexit.register(_remove, spark, path)
     return path
 
@@ -52,6 +55,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def released(spark: SparkSession):
+    """Removes what is staged inside as soon as its user is done, not when the driver ends."""
+    before = len(_PATHS)
+    try:
+        yield
+    finally:
+        for path in _PATHS[before:]:
+            _remove(spark, path)
+        del _PATHS[before:]
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back with the same schema."""
     spark = df.sparkSession

@@ -1,5 +1,7 @@
 import json
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +109,13 @@ def test_sinks_and_storage(spark, tmp_path):
     sinks.write_evaluation(rows, rows.limit(1), f"{tmp_path}/eval")
     assert spark.read.json(f"{tmp_path}/eval/details").count() == 2 and spark.read.json(f"{tmp_path}/eval/summary").count() == 1
 
+    with storage.released(spark):
+        kept = storage.staged(rows, "rows")
+        assert kept.count() == 2
+        path = storage._PATHS[-1].removeprefix("file://")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+
     class Elsewhere:
         class sparkContext:
             master = "spark://host:7077"
