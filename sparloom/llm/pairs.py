@@ -5,7 +5,9 @@ the question is that of its task. Each defective answer gets one defect:
 
 * ``empty``: neither field holds content beyond blanks, invisible characters,
   bare fences and bare think tags;
-* ``refusal``: it declines, in prose, comment or stub;
+* ``refusal``: it declines, in prose, comment or stub: a trigram naive Bayes model
+  of sentences, bootstrapped from the ways to decline in ``REFUSAL`` against the
+  questions and all other answers without code, with a threshold of least error;
 * ``copied``: it only holds text of the question;
 * ``truncated``: it breaks off (:mod:`sparloom.llm.truncation`);
 * ``language``: the language posteriors of its prose or comments, by character
@@ -37,7 +39,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sparloom.llm.langid import LANGUAGES, LanguageModel
+from sparloom.llm.langid import BUCKETS, LANGUAGES, LanguageModel, trigram_buckets
 from sparloom.llm.truncation import CODE_START, EndModel, _parses, is_cut, unfinished_code
 
 #: Log-likelihood margin by which another language must win.
@@ -54,7 +56,7 @@ _DOC = re.compile(r"(?:\"\"\"|''')(.*?)(?:\"\"\"|'''|\Z)", re.S)
 _FOREIGN = re.compile(r"[{;][ \t]*$|^\s*(?:end|fi|done|esac)\s*$|^\s*(?:package|func|fn|public|#include|using|let|const|var)\b", re.M)
 _QUOTE_MARK = re.compile(r"(?m)^[ \t]*(?:>+|#+|//+|\*|\"\"\"|''')[ \t]?")
 _WORDS = re.compile(r"[^\W_]+")
-#: How an answer declines, without regard to case.
+#: Ways to decline, without regard to case; they are seeds of the model, not the verdict.
 REFUSAL = re.compile(
     r"\b(?:i|we)(?:\s+am|['’]m|\s+are|['’]re)?\s+(?:not\s+(?:able|allowed|permitted|going|willing)\s+to|unable\s+to|forbidden\s+to)"
     r"|\b(?:i|we)\s+(?:can(?:no|['’])t|can\s?not|won['’]?t|will\s+not|must\s+(?:decline|refuse)|have\s+to\s+(?:pass|decline|refuse)|decline|refuse|would\s+rather\s+not|['’]d\s+rather\s+not|do\s+not\s+feel\s+comfortable)"
@@ -116,8 +118,6 @@ def classify(text: str, model: EndModel) -> tuple[str | None, str, str, bool]:
     if not CODE_START.match(code.lstrip()) and code.strip() and not _FOREIGN.search(code) and not _parses(code):
         only_words, body, code, comments = True, body + " " + code, "", ""
     said = f"{body}\n{comments}\n{code if code and only_words else ''}"
-    if only_words and REFUSAL.search(said):
-        return "refusal", "", "", False
     if code.strip() and not only_words and not is_python(code):
         return "language", "", "", False
     maybe_copied = only_words and bool(_WORDS.search(said))
@@ -125,9 +125,7 @@ def classify(text: str, model: EndModel) -> tuple[str | None, str, str, bool]:
     return ("truncated" if cut else None), f"{body} {think}", comments, maybe_copied
 
 
-SLIM_SCHEMA = (
-    "record_id long, task_id string, defect string, prose array<double>, comments array<double>, text string"
-)
+SLIM_SCHEMA = "record_id long, task_id string, defect string, prose array<double>, comments array<double>, text string, seed boolean"
 
 
 def slim(records: DataFrame, ends: EndModel, languages: LanguageModel) -> DataFrame:
@@ -137,16 +135,18 @@ def slim(records: DataFrame, ends: EndModel, languages: LanguageModel) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, lang = shared.value
         for pdf in batches:
-            defects, prose, comments, texts = [], [], [], []
+            defects, prose, comments, texts, seeds = [], [], [], [], []
             for response, code in zip(pdf["raw_response"], pdf["code"]):
                 response = response if isinstance(response, str) else None
                 code = code if isinstance(code, str) else None
                 text = response if has_content(response) else code if has_content(code) else None
+                seed = False
                 if text is None:
                     defect, p, c, maybe = "empty", "", "", False
                 else:
                     defect, p, c, maybe = classify(text, own)
-                    if text is response and maybe and has_content(code):
+                    seed = maybe and REFUSAL.search(text) is not None
+                    if text is response and maybe and not seed and has_content(code):
                         other = split_answer(code)[1] or code
                         if CODE_START.match(other.lstrip()) and not is_stub(other):
                             # the code was taken from a part of the response that is missing now
@@ -155,15 +155,85 @@ def slim(records: DataFrame, ends: EndModel, languages: LanguageModel) -> DataFr
                 prose.append(p if len(p) >= MIN_LETTERS else "")
                 comments.append(c if len(c) >= MIN_LETTERS else "")
                 texts.append(text if maybe else None)
+                seeds.append(seed)
             sp, sc = lang.scores(prose), lang.scores(comments)
             yield pd.DataFrame({
                 "record_id": pdf["record_id"], "task_id": pdf["task_id"], "defect": defects,
-                "prose": [r if r.any() else None for r in sp], "comments": [r if r.any() else None for r in sc], "text": texts,
+                "prose": [r if r.any() else None for r in sp], "comments": [r if r.any() else None for r in sc], "text": texts, "seed": seeds,
             })
 
     return records.select("record_id", "task_id", "raw_response", "code").mapInPandas(run, SLIM_SCHEMA)
 
 
+_SENTENCE = re.compile(r"[.!?\n]+")
+REFUSAL_GRID = [x / 2 for x in range(-20, 41)]
+
+
+def sentences(text: str) -> list[str]:
+    """Parts of a text with words, quote and comment marks aside."""
+    return [part.strip().lower() for part in _SENTENCE.split(_QUOTE_MARK.sub("", text)) if _WORDS.search(part)]
+
+
+def _refusal_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Trigram buckets of sentences that decline (side 1) and of all others in texts that hold none."""
+    totals = np.zeros((2, BUCKETS), dtype=np.int64)
+    for pdf in batches:
+        held: tuple[list[str], list[str]] = ([], [])
+        for text, seed in zip(pdf["text"], pdf["seed"]):
+            for sentence in sentences(text):
+                if not seed or REFUSAL.search(sentence):
+                    held[int(seed)].append(sentence)
+        for side in (0, 1):
+            totals[side] += np.bincount(trigram_buckets("\n\n".join(held[side]).encode("utf-8", "replace")), minlength=BUCKETS)
+    at = np.nonzero(totals)
+    yield pd.DataFrame({"side": at[0].astype("int32"), "bucket": at[1].astype("int32"), "n": totals[at]})
+
+
+class RefusalModel:
+    """Log-odds of trigrams in sentences that decline, and the threshold."""
+
+    def __init__(self, counts: np.ndarray):
+        smooth = counts + 0.5
+        self.odds = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
+        self.threshold = float("inf")
+
+    def score(self, text: str) -> float:
+        """Log-odds of the sentence that declines most, per square root of its length."""
+        best = -99.0
+        for sentence in sentences(text):
+            buckets = trigram_buckets(sentence.encode("utf-8", "replace"))
+            if len(buckets):
+                best = max(best, float(self.odds[buckets].sum()) / len(buckets) ** 0.5)
+        return best
+
+    def calibrate(self, bins: list[tuple[bool, float, int]]) -> None:
+        """Least error between seeds and others; without a seed nothing declines."""
+        if any(seed for seed, _, _ in bins):
+            self.threshold = min(REFUSAL_GRID, key=lambda t: (sum(n for seed, odds, n in bins if (odds >= t) != seed), abs(t)))
+
+
+def refusals(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """record_id of answers without code that decline. Only sums over all texts reach the driver."""
+    texts = rows.where(F.col("text").isNotNull()).select("record_id", "text", "seed")
+    learned = texts.select("text", "seed").unionByName(asked.select(F.col("question").alias("text"), F.lit(False).alias("seed")))
+    counts = np.zeros((2, BUCKETS))
+    for row in learned.mapInPandas(_refusal_counts, "side int, bucket int, n long").groupBy("side", "bucket").agg(F.sum("n").alias("n")).collect():
+        counts[row["side"], row["bucket"]] = row["n"]
+    model = RefusalModel(counts)
+
+    def scored(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf[["record_id", "seed"]].assign(odds=[shared.value.score(t) for t in pdf["text"]])
+
+        return texts.mapInPandas(run, "record_id long, seed boolean, odds double")
+
+    odds = scored(rows.sparkSession.sparkContext.broadcast(model))
+    bins = odds.groupBy("seed", (F.floor(F.col("odds") * 2) / 2).alias("odds")).agg(F.count(F.lit(1)).alias("n")).collect()
+    model.calibrate([(r["seed"], r["odds"], r["n"]) for r in bins])
+    return odds.where(F.col("odds") >= model.threshold).select("record_id").distinct()
+
+
 def question_languages(questions: DataFrame, languages: LanguageModel) -> DataFrame:
     """task_id, langs (the languages of its questions), one row for each task."""
     shared = questions.sparkSession.sparkContext.broadcast(languages)
@@ -217,6 +287,7 @@ def defects(records: DataFrame, questions: DataFrame, ends: EndModel, languages:
     asked = questions.where(F.col("task_id").isNotNull() & F.col("question").isNotNull()).select("task_id", "question").distinct()
     rows = stage(slim(records, ends, languages), "answers")
     copied = copies(rows.where(F.col("text").isNotNull()).select("record_id", "task_id", "text", F.coalesce(F.col("defect") == "truncated", F.lit(False)).alias("cut")), asked).withColumn("copied", F.lit(True))
+    refused = refusals(rows, asked).withColumn("refused", F.lit(True))
     langs = question_languages(asked, languages)
     index = F.create_map(*[x for i, language in enumerate(LANGUAGES) for x in (F.lit(language), F.lit(i))])
 
@@ -226,12 +297,12 @@ def defects(records: DataFrame, questions: DataFrame, ends: EndModel, languages:
         return F.col(scores).isNotNull() & (best - own >= MARGIN)
 
     joined = (
-        rows.drop("text").join(langs, "task_id", "left").join(copied, "record_id", "left")
+        rows.drop("text", "seed").join(langs, "task_id", "left").join(copied, "record_id", "left").join(refused, "record_id", "left")
         .withColumn("langs_", F.coalesce("langs", F.array(F.lit("en"))))
     )
     defect = (
-        F.when(F.col("copied"), "copied")
-        .when(F.col("defect").isin("empty", "refusal", "language"), F.col("defect"))
+        F.when(F.col("refused"), "refusal").when(F.col("copied"), "copied")
+        .when(F.col("defect").isin("empty", "language"), F.col("defect"))
         .when(F.col("defect") == "truncated", "truncated")
         .when(differs("prose") | differs("comments"), "language")
     )
