@@ -143,7 +143,8 @@ def consolidate(bodies: DataFrame, label: str = "consolidated", target_file_byte
     n_files = max(1, math.ceil(volume / target_file_bytes))
     path = new_path(spark, label)
     stage = path + "-staging"
-    one_copy(records, places).coalesce(n_files).write.mode("error").option("compression", "zstd").parquet(stage)
+    repeated = staged(places.where("copies > 1"), label + "-repeated")  # its size on disk decides how it is joined
+    one_copy(records, repeated).coalesce(n_files).write.mode("error").option("compression", "zstd").parquet(stage)
     expected = _contents(places)
     found = _contents(spark.read.parquet(stage).select("run_id", "task_id", F.xxhash64("record").alias("hash")))
     if expected != found:
