@@ -20,6 +20,13 @@ are equal, or their statements are equal or nearly so. Statements:
    blocks that meet each other once. Beside its digest a row carries a bitmap of
    its words: two near classes differ in few words, hence in few bits, and a pair
    that differs in more never leaves the join. Neither filter loses a pair.
+   The digests of most pairs (``HOT``) are the last in the order, so a pair whose
+   first common chunk is one of them has only such in common, and these alone hold
+   ``theta`` of its words. Where a join would let most of them meet, they are not
+   joined: all classes of that kind are compared by their bitmaps alone. Those of a block of training lie in one lane for each bit,
+   64 in a number, and the lanes of the bits of a class of evaluation are added, the
+   rarest first, until too few of them are set in those that are not near. Classes
+   of more than ``LONG`` words have full bitmaps; they are joined by all digests.
 4. What is left is checked by common words (``SHARE`` of the longer one) and their
    longest common subsequence; only there texts are fetched.
 5. Groups of edited copies are closed: a class also meets the classes linked with
@@ -31,8 +38,8 @@ A near pair is certain to be found if both statements have at most 24 words, or
 the chunks it shares hold ``theta`` of the words of the longer one, however frequent
 they are. Two statements apart from any
 group can be missed if edits are strewn so evenly that fewer chunks survive.
-Chunks that stand in nearly all statements and make up more than ``theta``
-of their words let every pair meet in the join, where the bitmap drops it.
+Common chunks that make up more than ``theta`` of the words of most statements let
+all pairs of classes meet in the lanes: that part is quadratic, with a small factor.
 
 Defined results: ids null, ``""``, ``"None"`` or blank never match, blank or
 null hashes neither; a statement without words (null, empty) or of the words of
@@ -50,7 +57,9 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BLOCK = 20_000
@@ -58,6 +67,17 @@ COMMON = 30_000
 #: One word in so many ends a chunk, for statements of these lengths, and the overlap fraction (theta) to find.
 LEVELS = [(1, 0, 24, 0.72), (2, 17, 96, 0.12), (3, 69, 1 << 60, 0.2)]
 BITS = 512
+#: Of the listed chunks, those of more pairs of classes than this are hot, the first ``HOT`` of them; words of a class that is compared in lanes, at most.
+HOT_PAIRS = 200_000
+HOT = 2_048
+LONG = 256
+#: Classes of either side in a block of lanes at most; tasks at least, if their blocks keep ``LEAST_BLOCK`` classes; words of a lane added at once.
+LANE = 1 << 19
+TASKS = 12
+LEAST_BLOCK = 4_096
+TILE = 1_024
+#: Pairs compared in lanes in the time of one that meets in the join.
+LANES_PER_MEETING = 4
 #: Nearest classes through which a class meets those of its group.
 CENTRES = 4
 MIX = 0x9E3779B97F4A7C15
@@ -140,18 +160,24 @@ class Order:
     def __init__(self, listed: list[tuple[int, int, int]]):
         self.pairs = {digest: n_a * n_b for digest, n_a, n_b in listed}
         self.counts = {digest: (n_a, n_b) for digest, n_a, n_b in listed if max(n_a, n_b) > BLOCK}
+        #: They are the last of the order.
+        self.hot = set([d for d, n_a, n_b in listed if n_a * n_b > HOT_PAIRS][:HOT])
 
     def prefix(self, chunks: dict[int, int], theta: float) -> list[int]:
         """The first chunks, of which two classes with enough overlap share one."""
         left = (1 - theta) * sum(chunks.values()) + 1e-9
         out = []
-        for digest in sorted(chunks, key=lambda d: (self.pairs.get(d, 0), d)):
+        for digest in sorted(chunks, key=lambda d: (d in self.hot, self.pairs.get(d, 0), d)):
             if left < 0:
                 break
             out.append(digest)
             left -= chunks[digest]
         return out
 
+    def rests_on_hot(self, chunks: dict[int, int], theta: float) -> bool:
+        """Whether enough overlap is possible in hot chunks alone."""
+        return bool(self.hot) and sum(n for d, n in chunks.items() if d in self.hot) >= theta * sum(chunks.values()) - 1e-9
+
     def keys(self, digest: int, side: str, own: int) -> list[int]:
         """Keys under which a row of a digest meets those of the other side: one, or one for each pair of blocks."""
         counts = self.counts.get(digest)
@@ -253,40 +279,176 @@ def _prefixes(model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = model.value
         for pdf in batches:
-            keys, shown = [], []
-            for side, own, theta, digests, sizes in zip(pdf["side"], pdf["id"], pdf["theta"], pdf["digests"], pdf["sizes"]):
+            keys, hot_keys, hot = [], [], []
+            for side, own, n_words, theta, digests, sizes in zip(pdf["side"], pdf["id"], pdf["n_words"], pdf["theta"], pdf["digests"], pdf["sizes"]):
                 chunks = dict(zip(digests.tolist(), sizes.tolist()))
-                met = [(key, chunks[d]) for d in order.prefix(chunks, theta) for key in order.keys(d, side, own & MASK)]
-                keys.append([k for k, _ in met])
-                shown.append([n for _, n in met])
-            yield pdf[["side", "id", "n_words", *SIGNED]].assign(keys=keys, shown=shown)
+                joined = n_words >= SHARE * LONG  # such a class may be near to one of more than LONG words
+                first = order.prefix(chunks, theta)
+                keys.append([key for d in first if joined or d not in order.hot for key in order.keys(d, side, own & MASK)])
+                hot_keys.append([key for d in first if not joined and d in order.hot for key in order.keys(d, side, own & MASK)])
+                hot.append(n_words <= LONG and order.rests_on_hot(chunks, theta))
+            yield pdf[["side", "id", "n_words", *SIGNED]].assign(keys=keys, hot_keys=hot_keys, hot=hot)
 
     return run
 
 
-PREFIX_SCHEMA = "side string, id long, n_words int, " + ", ".join(f"{c} long" for c in SIGNED) + ", keys array<long>, shown array<int>"
+PREFIX_SCHEMA = "side string, id long, n_words int, " + ", ".join(f"{c} long" for c in SIGNED) + ", keys array<long>, hot_keys array<long>, hot boolean"
+
+
+def at_least(lanes: np.ndarray, least: int) -> np.ndarray:
+    """Bits that are set in ``least`` of the lanes (rows) or more, by carry-save addition."""
+    planes, column = [], lanes
+    while len(column):
+        carried = []
+        while len(column) > 2:
+            n = len(column) // 3
+            x, y, z = column[:n], column[n:2 * n], column[2 * n:3 * n]
+            total, carry = x ^ y, x & y
+            carry |= z & total
+            total ^= z
+            carried.append(carry)
+            column = np.concatenate([total, column[3 * n:]]) if len(column) > 3 * n else total
+        if len(column) == 2:
+            carried.append(column[:1] & column[1:])
+            column = column[:1] ^ column[1:]
+        planes.append(column[0])
+        column = (np.concatenate(carried) if len(carried) > 1 else carried[0]) if carried else ()
+    if least >> len(planes):
+        return np.zeros_like(planes[0])
+    more, same = np.zeros_like(planes[0]), np.full_like(planes[0], MASK)
+    for at in reversed(range(len(planes))):
+        if least >> at & 1:
+            same &= planes[at]
+        else:
+            more |= same & planes[at]
+    return more | same
+
+
+def _bitmaps(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([np.asarray(batch.column(c)) for c in SIGNED], axis=1).view(np.uint64)
+
+
+def _bits(bitmaps: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bitmaps.view(np.uint8).reshape(len(bitmaps), -1), axis=1, bitorder="little")
+
+
+class Lanes:
+    """A block of training classes: a lane for each bit of the bitmaps, in it one bit for each class."""
+
+    STRIP = 8_192
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        self.ids = np.concatenate([np.asarray(b.column("id")) for b in batches])
+        self.n_words = np.concatenate([np.asarray(b.column("n_words")) for b in batches]).astype(np.int64)
+        self.bitmaps = np.concatenate([_bitmaps(b) for b in batches])
+        n = len(self.ids)
+        self.bits = np.zeros((BITS, -(-n // 64)), np.uint64)
+        packed, filled = self.bits.view(np.uint8), np.zeros(BITS)
+        for start in range(0, n, self.STRIP):
+            strip = _bits(self.bitmaps[start:start + self.STRIP])
+            filled += strip.sum(axis=0)
+            rows = np.packbits(strip.T, axis=1, bitorder="little")
+            packed[:, start // 8:start // 8 + rows.shape[1]] = rows
+        self.share = filled / n
+        self.rarest = np.argsort(self.share, kind="stable")
+
+    def near(self, n_words: int, bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Ids of the classes that are of like length and differ in few bits."""
+        lanes = self.rarest[bits[self.rarest] > 0]
+        spared = n_words - math.ceil(SHARE * n_words - 1e-9)  # a near class lacks no more words, hence no more bits
+        others = np.cumsum(self.share[lanes])  # bits that any class has on average
+        enough = np.flatnonzero(np.arange(1, len(lanes) + 1) - spared >= others + 4 * np.sqrt(others) + 1)
+        lanes = lanes[:enough[0] + 1] if len(enough) else lanes
+        found = []
+        for start in range(0, self.bits.shape[1], TILE):
+            hits = at_least(self.bits[lanes, start:start + TILE], max(1, len(lanes) - spared))
+            words = np.flatnonzero(hits)
+            if len(words):
+                row, bit = np.nonzero(_bits(hits[words]))
+                found.append((start + words[row]) * 64 + bit)
+        if not found:
+            return self.ids[:0]
+        met = np.concatenate(found)
+        n = self.n_words[met]
+        need = np.ceil(SHARE * np.maximum(n, n_words) - 1e-9)
+        differ = np.bitwise_count(self.bitmaps[met] ^ bitmap).sum(axis=1, dtype=np.int64)
+        return self.ids[met[(np.minimum(n, n_words) >= need) & (differ <= n + n_words - 2 * need)]]
+
+
+def _in_lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by cell, those of training first."""
+    cell, waiting, lanes = None, [], None
+    for batch in batches:
+        cells, is_a = np.asarray(batch.column("cell")), batch.column("is_a").to_numpy(zero_copy_only=False).astype(bool)
+        cuts = [0, *(np.flatnonzero((np.diff(cells) != 0) | (is_a[1:] != is_a[:-1])) + 1).tolist(), len(cells)]
+        for start, stop in zip(cuts, cuts[1:]):
+            if start == stop:
+                continue
+            part = batch.slice(start, stop - start)
+            if cells[start] != cell:
+                cell, waiting, lanes = cells[start], [], None
+            if is_a[start]:
+                waiting.append(part)
+                continue
+            if waiting:
+                lanes, waiting = Lanes(waiting), []
+            if lanes is None:
+                continue
+            ids, bitmaps, met = np.asarray(part.column("id")), _bitmaps(part), []
+            for n_words, bitmap, bits in zip(part.column("n_words").to_pylist(), bitmaps, _bits(bitmaps)):
+                met.append(lanes.near(n_words, bitmap, bits))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(met)), pa.array(np.repeat(ids, [len(m) for m in met]))], ["id_a", "id_b"])
+
+
+def meetings(rows: DataFrame, keys: str) -> int:
+    """Pairs of rows that a join by these keys lets meet."""
+    is_a = F.col("side") == "train"
+    met = rows.select(is_a.alias("is_a"), F.explode(keys).alias("key")).groupBy("key").agg((F.count_if("is_a") * F.count_if(~F.col("is_a"))).alias("n"))
+    return met.agg(F.sum(F.col("n").cast("double"))).first()[0] or 0
+
+
+def hot_candidates(rows: DataFrame) -> DataFrame | None:
+    """id_a, id_b: pairs of classes of which hot chunks alone may hold enough words, and that differ in few bits.
+    None where a join by the hot chunks is cheaper."""
+    hot_keys = meetings(rows, "hot_keys")
+    rows = rows.where("hot").withColumn("is_a", F.col("side") == "train")
+    n = {r["is_a"]: r["count"] for r in rows.groupBy("is_a").count().collect()}
+    if len(n) < 2 or n[True] * n[False] > LANES_PER_MEETING * hot_keys:
+        return None
+    n_i = -(-n[True] // LANE)
+    n_j = max(-(-n[False] // LANE), min(-(-n[False] // LEAST_BLOCK), -(-TASKS // n_i)))
+    own = F.xxhash64("id")
+    first = F.when(F.col("is_a"), F.pmod(own, F.lit(n_i))).otherwise(F.lit(0))
+    second = F.when(F.col("is_a"), F.lit(0)).otherwise(F.pmod(own, F.lit(n_j)))
+    cells = F.when(
+        F.col("is_a"), F.transform(F.sequence(F.lit(0), F.lit(n_j - 1)), lambda j: first * n_j + j)
+    ).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n_i - 1)), lambda i: i * n_j + second))
+    return (
+        rows.select("is_a", "id", "n_words", *SIGNED, F.explode(cells.cast("array<int>")).alias("cell"))
+        .repartitionById(n_i * n_j, F.col("cell")).sortWithinPartitions("cell", F.col("is_a").desc())
+        .mapInArrow(_in_lanes, "id_a long, id_b long")
+    )
 
 
 def candidates(chunked: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """id_a, id_b, shared: pairs of classes that share a first chunk and differ in few bits, with
-    the words in the first chunks they share."""
+    """id_a, id_b: pairs of classes that share a first chunk, or may share enough hot ones, and differ in few bits."""
     order = Order(common_chunks(chunked))
     rows = stage(chunked.mapInPandas(_prefixes(chunked.sparkSession.sparkContext.broadcast(order)), PREFIX_SCHEMA), "prefixes")
 
+    hot = hot_candidates(rows) if order.hot else None
+    keys = F.concat("keys", "hot_keys") if hot is None else F.col("keys")
+
     def of(side: str, mark: str) -> DataFrame:
         return rows.where(F.col("side") == side).select(
-            F.col("id").alias(f"id_{mark}"), F.col("n_words").alias(f"n_{mark}"), *[F.col(c).alias(f"{c}_{mark}") for c in SIGNED],
-            F.explode(F.arrays_zip("keys", "shown")).alias("k"),
-        ).withColumn("key", F.col("k.keys")).withColumnRenamed("k", f"k_{mark}")
+            F.col("id").alias(f"id_{mark}"), F.col("n_words").alias(f"n_{mark}"), *[F.col(c).alias(f"{c}_{mark}") for c in SIGNED], F.explode(keys).alias("key"),
+        )
 
     longer = F.greatest("n_a", "n_b")
     need = F.ceil(F.lit(SHARE) * longer - F.lit(1e-9))
     differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNED), F.lit(0))
     a, b = of("train", "a"), of("eval", "b")
-    return (
-        a.join(b, "key").where((F.least("n_a", "n_b") >= need) & (differ <= F.col("n_a") + F.col("n_b") - 2 * need))
-        .groupBy("id_a", "id_b").agg(F.sum(F.least("k_a.shown", "k_b.shown")).alias("shared"))
-    )
+    met = a.join(b, "key").where((F.least("n_a", "n_b") >= need) & (differ <= F.col("n_a") + F.col("n_b") - 2 * need)).select("id_a", "id_b")
+    return (met if hot is None else met.unionByName(hot)).distinct()
 
 
 def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

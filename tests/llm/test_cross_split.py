@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -146,6 +147,49 @@ def test_repeated_rows_make_their_own_pairs(spark, stage):
     assert len(pairs(spark, rows, stage)) == 1200
 
 
+@pytest.mark.parametrize("block", [7, 1 << 19])
+def test_statements_of_few_templates_in_lanes(spark, stage, monkeypatch, block):
+    """Hot chunks are compared in lanes, not joined, and no pair is lost; short and long statements beside them."""
+    rng = random.Random(21)
+    templates = [[rng.choice(WORDS) for _ in range(10)] for _ in range(12)]
+    rows = []
+    for i in range(90):
+        words = [w for t in rng.sample(templates, 1 if i % 9 == 0 else 8) for w in t]
+        if i % 10 == 5:
+            words = [w for _ in range(3) for t in templates for w in t][: rng.randrange(180, 340)]
+        for at in rng.sample(range(len(words)), len(words) // 6):
+            words[at] = f"slot{rng.randrange(50)}"
+        rows.append((i, "train", "s", "s", None, None, " ".join(words)))
+        for k in rng.sample(range(len(words)), rng.randrange(0, len(words) // 4)):
+            words[k] = "edited"
+        rows.append((1000 + i, "eval", "s", "s", None, None, " ".join(words)))
+    expected = brute_force(rows)
+    assert len(expected) > 60
+    assert pairs(spark, rows, stage) == expected
+    met = []
+    hot_candidates = X.hot_candidates
+
+    def noted(rows):
+        out = hot_candidates(rows)
+        met.append((X.meetings(rows, "keys"), X.meetings(rows, "hot_keys"), out is not None))
+        return out
+
+    for name, value in (("HOT_PAIRS", 30), ("LANE", block), ("LEAST_BLOCK", 16), ("LANES_PER_MEETING", 1e9), ("hot_candidates", noted)):
+        monkeypatch.setattr(X, name, value)
+    assert pairs(spark, rows, stage) == expected
+    assert met[0][2] and met[0][1] > met[0][0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 40])
+def test_at_least(n):
+    rng = np.random.default_rng(n)
+    bits = rng.integers(0, 2, (n, 128)).astype(np.uint8)
+    lanes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    for least in range(1, n + 2):
+        got = np.unpackbits(X.at_least(lanes, least).view(np.uint8), bitorder="little")
+        assert (got == (bits.sum(axis=0) >= least)).all()
+
+
 def test_lcs():
     rng = random.Random(4)
     for _ in range(200):
